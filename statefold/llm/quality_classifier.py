@@ -29,7 +29,7 @@ def statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFram
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS, **options) -> boosted_trees.Forest:
     """Trees for ``labels.quality``, from rows outside fold 0 of 5; the driver gets ``bound`` rows of statistics at most."""
-    rows = statistics(labelled_documents(docs, labels, "quality", bound), ("doc_id", "y")).orderBy("doc_id", "stats").toPandas()
+    rows = statistics(labelled_documents(docs, labels, "quality", bound), ("doc_id", "y")).toPandas().sort_values("doc_id", kind="stable")
     x = np.array(rows.stats.tolist(), np.float32).reshape(len(rows), len(FEATURES))
     return boosted_trees.fit(x, rows.y.to_numpy(np.float64), **options)
 

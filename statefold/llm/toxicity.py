@@ -190,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS, lexicon: in
         odds = F.log((a + 0.5) / (toxic + 1) / ((b + 0.5) / (clean + 1)))
         found = term_counts(sample).where((a >= 3) & (odds > 1.5)).withColumn("g", g).withColumn("odds", odds).where(F.col("g") >= LEAST_G)
         terms = {r["term"]: float(min(r["odds"], 5.0) / 3) for r in found.orderBy(F.desc("g"), "term").limit(lexicon).collect()}
-    rows = numbers(sample, terms, ("doc_id", "y")).orderBy("doc_id", "numbers").toPandas()
+    rows = numbers(sample, terms, ("doc_id", "y")).toPandas().sort_values("doc_id", kind="stable")
     x = np.array(rows.numbers.tolist(), np.float64).reshape(len(rows), NUMBERS)
     return Model(terms, fit_curve(x, rows.y.to_numpy(np.float64)))
 
