@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from statefold.llm import language_id, max_score, packing, pieces_codec, quality_classifier, quality_rules, token_files, toxicity
+from statefold.llm import language_id, max_score, n_gram_join, packing, pieces_codec, quality_classifier, quality_rules, token_files, toxicity
 from statefold.llm.common import table
 
 
@@ -54,8 +54,12 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_read(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op10_n_gram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return n_gram_join.join(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_max_score, op4_quality_classifier, op6_language_id, op7_packing, op8_pieces_codec, op9_token_files)
+    f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_max_score, op4_quality_classifier, op6_language_id, op7_packing, op8_pieces_codec, op9_token_files, op10_n_gram_join)
 }
 
 #: DuckDB SQL of the queries that SQL can express.
