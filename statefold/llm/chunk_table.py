@@ -6,7 +6,9 @@ its chunks, joined by position. The table of a task is emptied when it holds ``b
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Callable
 from itertools import chain
 
@@ -17,29 +19,58 @@ from statefold.llm.common import coded, ragged, strings_at
 BOUND = 300_000
 
 
-def cuts_before_blanks(data: np.ndarray) -> np.ndarray:
-    """Bytes at which a new chunk may begin: a space or line feed after a character that nobody counts as white space.
+def ranges(*pairs: tuple[int, int]) -> np.ndarray:
+    """Byte set of the closed ranges."""
+    out = np.zeros(256, bool)
+    for first, last in pairs:
+        out[first : last + 1] = True
+    return out
 
-    Left uncut, to be safe, after characters that might be: controls, U+0080-U+00BF and the blocks of U+1000-U+3FFF.
+
+ASCII_LETTER, PLAIN = ranges((65, 90), (97, 122)), ranges((0x21, 0x7E))
+POINT = ranges((0x21, 0x26), (0x28, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))  # without the apostrophe, which begins endings like 's
+INNER, LATIN_LEAD = ranges((0x80, 0xBF)), ranges((0xC4, 0xC8))  # U+0100-U+023F are letters
+
+
+def shifted(data: np.ndarray, n: int) -> np.ndarray:
+    """The byte ``n`` places before each byte; after it for a negative ``n``; 0 outside."""
+    out = np.zeros(len(data), np.uint8)
+    if n > 0:
+        out[n:] = data[:-n]
+    else:
+        out[:n] = data[-n:]
+    return out
+
+
+def latin(lead: np.ndarray, inner: np.ndarray) -> np.ndarray:
+    """Whether two bytes are a letter of U+00C0-U+023F; the dotted capital I counts as none, as lower case gives it a mark."""
+    return LATIN_LEAD[lead] & ~((lead == 0xC4) & (inner == 0xB0)) | (lead == 0xC3) & (inner != 0x97) & (inner != 0xB7)
+
+
+def cuts_of_words(data: np.ndarray) -> np.ndarray:
+    """Bytes at which a new chunk may begin for tokenizers that never join letters, other signs and blanks, but for one blank before a word.
+
+    These are a space or line feed after a character that nobody counts as white space, what follows such a line feed, and the
+    border of Latin letters and ASCII signs. Left uncut, to be safe, after characters that might be blanks: controls,
+    U+0080-U+00BF and the blocks of U+1000-U+3FFF.
     """
-    if not len(data):
-        return np.zeros(0, bool)
-    back = lambda n: np.concatenate((np.zeros(min(n, len(data)), np.uint8), data[:-n]))[: len(data)]
-    one, two, three, four = (back(n) for n in (1, 2, 3, 4))
-    plain = (one > 0x20) & (one < 0x7F)
-    wide = (one >= 0x80) & (one < 0xC0)
-    two_bytes = wide & (two >= 0xC3) & (two < 0xE0)
-    three_bytes = wide & (two >= 0x80) & (two < 0xC0) & (three >= 0xE4) & (three < 0xEE)
-    four_bytes = wide & (two >= 0x80) & (two < 0xC0) & (three >= 0x80) & (three < 0xC0) & (four >= 0xF0)
-    return ((data == 0x20) | (data == 0x0A)) & (plain | two_bytes | three_bytes | four_bytes)
+    if len(data) < 5:
+        return np.zeros(len(data), bool)
+    one, two, three, four = (shifted(data, n) for n in (1, 2, 3, 4))
+    in_one, in_two = INNER[one], INNER[two]
+    visible = PLAIN[one] | in_one & (two >= 0xC3) & (two < 0xE0) | in_one & in_two & (three >= 0xE4) & (three < 0xEE) | in_one & in_two & INNER[three] & (four >= 0xF0)
+    after_letter = ASCII_LETTER[one] | in_one & latin(two, one)
+    letter = ASCII_LETTER[data] | latin(data, shifted(data, -1))
+    line = (data == 0x0A) & visible
+    after_line = (shifted(line.view(np.uint8), 1) > 0) & (PLAIN[data] | letter)
+    return (data == 0x20) & visible | line | after_line | POINT[data] & after_letter | letter & POINT[one]
 
 
 def cuts_before_spaces(data: np.ndarray) -> np.ndarray:
     """Bytes at which a run of spaces or word markers (U+2581) begins with a space."""
-    if not len(data):
-        return np.zeros(0, bool)
-    back = lambda n: np.concatenate((np.zeros(min(n, len(data)), np.uint8), data[:-n]))[: len(data)]
-    return (data == 0x20) & (back(1) != 0x20) & ~((back(3) == 0xE2) & (back(2) == 0x96) & (back(1) == 0x81))
+    if len(data) < 3:
+        return (data == 0x20) & (shifted(data, 1) != 0x20) if len(data) > 1 else data == 0x20
+    return (data == 0x20) & (shifted(data, 1) != 0x20) & ~((shifted(data, 3) == 0xE2) & (shifted(data, 2) == 0x96) & (shifted(data, 1) == 0x81))
 
 
 def chunks(data: np.ndarray, offsets: np.ndarray, cuts: np.ndarray):
@@ -88,14 +119,56 @@ class IdTable:
         return self.flat[ragged(starts[own], size)], np.diff(ends[bounds])
 
 
+#: A word that is one piece to these tokenizers' splitters; the dotted capital I becomes two characters in lower case.
+WORD = re.compile("[ ]?[A-Za-zÀ-ÖØ-öø-įı-ȿ]+")
+
+
+def byte_letters() -> dict[int, int]:
+    """The character that byte-level vocabularies write for each byte: itself if it is visible, else the next from U+0100 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in visible]
+    return {b: b for b in visible} | {b: 256 + i for i, b in enumerate(rest)}
+
+
+def word_form(spec: dict) -> Callable[[str], str] | None:
+    """How a tokenizer of a known build normalises a WORD before its model sees it; None for other builds."""
+    kind = lambda x: (x or {}).get("type")
+    normal, split = spec.get("normalizer"), spec.get("pre_tokenizer")
+    if spec["model"].get("dropout") or kind(spec["model"]) != "BPE":
+        return None
+    if normal is None and kind(split) == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space"):
+        return lambda word: word
+    steps = [kind(x) for x in (normal or {}).get("normalizers", [])]
+    parts = (split or {}).get("pretokenizers", [])
+    if steps == ["NFC", "Replace", "Lowercase"] and [kind(x) for x in parts] == ["Split", "ByteLevel"] and parts[0]["behavior"] == "Removed" and not parts[1]["use_regex"]:
+        return lambda word: word.strip().lower()
+    return None
+
+
 def hub_encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
-    """Encodes by the tokenizers library; strings of special tokens are ordinary text."""
+    """Encodes by the tokenizers library; strings of special tokens are ordinary text. Single words go straight to the library's model."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    return lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    with open(path, encoding="utf-8") as f:
+        form = word_form(json.load(f))
+    letters, model = byte_letters(), tokenizer.model
+
+    def encode(chunks: list[str]) -> list[list[int]]:
+        out: list[list[int] | None] = [None] * len(chunks)
+        other = []
+        for i, c in enumerate(chunks):
+            if form and WORD.fullmatch(c):
+                out[i] = [t.id for t in model.tokenize(form(c).encode().decode("latin1").translate(letters))]
+            else:
+                other.append(i)
+        for i, e in zip(other, tokenizer.encode_batch_fast([chunks[i] for i in other], add_special_tokens=False), strict=True):
+            out[i] = e.ids
+        return out
+
+    return encode
 
 
 def with_end(ids: np.ndarray, n: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
