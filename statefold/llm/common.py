@@ -141,7 +141,7 @@ def map_texts(docs: DataFrame, make: Callable[[], Callable[[pa.RecordBatch, np.n
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType, _parse_datatype_string
 
-    rows = docs.select(*keep, "text")
+    rows = docs.select(*keep, *([] if "text" in keep else ["text"]))
     full = StructType([f for f in rows.schema.fields if f.name in keep] + list(_parse_datatype_string(schema).fields))
     arrow = to_arrow_schema(full)
 
@@ -152,3 +152,28 @@ def map_texts(docs: DataFrame, make: Callable[[], Callable[[pa.RecordBatch, np.n
             yield out_batch(arrow, made)
 
     return rows.mapInArrow(run, full)
+
+
+def scored_texts(docs: DataFrame, scorer: Callable, threshold: float) -> DataFrame:
+    """doc_id, score and predicted (1 from ``threshold`` on); ``scorer`` makes a task's function from a slice to scores."""
+
+    def make():
+        score = scorer()
+
+        def work(part, data, offsets):
+            p = score(data, offsets)
+            return {"score": p, "predicted": (p >= threshold).astype(np.int32)}
+
+        return work
+
+    return map_texts(docs, make, "score double, predicted int")
+
+
+def kept_texts(docs: DataFrame, scorer: Callable, keep: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """The rows of ``docs`` whose score ``keep`` accepts, with all their columns and nothing else."""
+
+    def make():
+        score = scorer()
+        return lambda part, data, offsets: {"_kept": keep(score(data, offsets))}
+
+    return map_texts(docs, make, "_kept boolean", tuple(docs.columns)).where("_kept").drop("_kept")

@@ -214,3 +214,19 @@ def join(docs: DataFrame, percent: int = PERCENT, frequent: int = FREQUENT) -> D
     named = materialize(of_node.join(least, "comp").select("node", "component_id"), "node-names")
     out = own.join(named, "node", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def representatives(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` without those that link, over others, to a row with a smaller doc_id (null: largest; ties: the first row).
+
+    Rows are told apart by their place in the scan of ``docs``, which must be a table that is read the same way each time.
+    """
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    ids = materialize(numbered.select("_row", "doc_id"), "rows")
+    found = join(numbered.select(F.col("_row").alias("doc_id"), "text"), percent).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("comp"))
+    placed = materialize(found.join(ids, "_row"), "row-components")
+    first = placed.groupBy("comp").agg(F.min(F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("first"))
+    tied = placed.join(materialize(first, "firsts"), "comp").where(F.coalesce("doc_id", F.lit((1 << 63) - 1)) == F.col("first"))
+    best = tied.groupBy("comp").agg(F.min("_row").alias("_row"))
+    lost = materialize(placed.select("_row").join(best.select("_row"), "_row", "left_anti"), "lost-rows")
+    return numbered.join(lost, "_row", "left_anti").select(*docs.columns)

@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statefold.llm import boosted_trees
-from statefold.llm.common import held_out, labelled_documents, map_texts
+from statefold.llm.common import held_out, kept_texts, labelled_documents, map_texts, scored_texts
 from statefold.llm.textstats import FEATURES, features
 
 #: Labelled documents that a model is fitted on, at most; they are chosen by a hash of the id.
 TRAIN_ROWS = 20_000
+#: Least score of a good document.
+THRESHOLD = 0.3
 
 
 def statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -34,18 +36,23 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS, **options)
     return boosted_trees.fit(x, rows.y.to_numpy(np.float64), **options)
 
 
-def score(docs: DataFrame, model: boosted_trees.Forest, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of ``docs``."""
+def scorer(docs: DataFrame, model: boosted_trees.Forest):
+    """What a task needs to score slices of texts."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # trees x 2**(depth + 1) numbers
 
     def make():
         forest = shared.value
+        return lambda data, offsets: forest.probability(features(data, offsets))
 
-        def work(part, data, offsets):
-            p = forest.probability(features(data, offsets))
-            return {"score": p, "predicted": (p >= threshold).astype(np.int32)}
+    return make
 
-        return work
 
-    out = map_texts(docs, make, "score double, predicted int")
+def score(docs: DataFrame, model: boosted_trees.Forest, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row of ``docs``."""
+    out = scored_texts(docs, scorer(docs, model), threshold)
     return out.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted")
+
+
+def accepted(docs: DataFrame, model: boosted_trees.Forest, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` with a score of at least ``threshold``, with all their columns."""
+    return kept_texts(docs, scorer(docs, model), lambda p: p >= threshold)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from statefold.llm import language_id, max_score, n_gram_join, packing, pieces_codec, quality_classifier, quality_rules, token_files, toxicity
+from statefold.llm import language_id, max_score, n_gram_join, packing, pieces_codec, quality_classifier, quality_rules, secret_forest, token_files, toxicity
 from statefold.llm.common import table
 
 
@@ -37,6 +37,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_forest.findings(table(spark, sf_dir, "documents"), secret_forest.fit(secret_forest.labelled_findings(spark)))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_id.predict(docs, language_id.fit(docs))
@@ -59,8 +63,18 @@ def op10_n_gram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_max_score, op4_quality_classifier, op6_language_id, op7_packing, op8_pieces_codec, op9_token_files, op10_n_gram_join)
+    f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_max_score, op4_quality_classifier, op5_secret_forest, op6_language_id, op7_packing, op8_pieces_codec, op9_token_files, op10_n_gram_join)
 }
 
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline
+
 #: DuckDB SQL of the queries that SQL can express.
 SQL: dict[str, str] = {}

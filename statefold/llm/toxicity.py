@@ -21,9 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statefold.llm.common import coded, held_out, labelled_documents, map_texts, ragged, strings_at, text_slices, word_spans
+from statefold.llm.common import coded, held_out, kept_texts, labelled_documents, map_texts, ragged, scored_texts, strings_at, text_slices, word_spans
 
 TRAIN_ROWS = 20_000
+#: Least score of a toxic document.
+THRESHOLD = 0.5
 #: Learned terms, at most; lengths of word beginnings; least likelihood-ratio statistic of a term.
 LEXICON, BEGINNINGS, LEAST_G = 2_000, (4, 5, 6), 16.0
 
@@ -214,18 +216,23 @@ def numbers(docs: DataFrame, terms: dict[str, float], keep: tuple[str, ...] = ("
     return map_texts(docs, make, "numbers array<double>", keep)
 
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of ``docs``."""
+def scorer(docs: DataFrame, model: Model):
+    """What a task needs to score slices of texts."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # LEXICON terms at most
 
     def make():
         m = shared.value
+        return lambda data, offsets: 1 / (1 + np.exp(-np.clip(clause_numbers(data, offsets, m.terms) @ m.curve[:-1] + m.curve[-1], -30, 30)))
 
-        def work(part, data, offsets):
-            p = 1 / (1 + np.exp(-np.clip(clause_numbers(data, offsets, m.terms) @ m.curve[:-1] + m.curve[-1], -30, 30)))
-            return {"score": p, "predicted": (p >= threshold).astype(np.int32)}
+    return make
 
-        return work
 
-    out = map_texts(docs, make, "score double, predicted int")
+def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row of ``docs``."""
+    out = scored_texts(docs, scorer(docs, model), threshold)
     return out.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted")
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` with a score under ``threshold``, with all their columns."""
+    return kept_texts(docs, scorer(docs, model), lambda p: p < threshold)
