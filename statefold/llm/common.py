@@ -44,10 +44,10 @@ def new_shared_path(spark: SparkSession, what: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, what: str) -> DataFrame:
+def materialize(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back: cuts the lineage, outlives executors."""
     path = new_shared_path(df.sparkSession, what)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

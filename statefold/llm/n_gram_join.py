@@ -19,7 +19,6 @@ one shingle; repeated rows link; a null id stays null and doesn't name a compone
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -42,12 +41,24 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * FACTORS[0])
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word: its bytes' values times factors of their places, added up."""
+    offsets = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, words.offset * 8)
+    data = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    starts = offsets[:-1] - offsets[0]
+    place = (np.arange(len(data)) - np.repeat(starts, np.diff(offsets))).astype(np.uint64)
+    return mixed(np.add.reduceat(BYTE_VALUES[data] * (mixed((place + np.uint64(1)) * FACTORS[2]) | np.uint64(1)), starts))
+
+
 def token_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """Each row's distinct shingle hashes in ascending order."""
     lower = data + np.uint8(32) * ((data >= 65) & (data <= 90)).astype(np.uint8)
     starts, ends, row = word_spans(lower, offsets)
     code, words = coded(strings_at(lower, starts, ends))
-    word = pd.util.hash_array(np.array(words.to_pylist(), object), categorize=False)[code] if len(code) else np.zeros(0, np.uint64)
+    word = word_hashes(words)[code] if len(code) else np.zeros(0, np.uint64)
     n = np.bincount(row, minlength=len(offsets) - 1)
     first = np.concatenate(([0], np.cumsum(n)))
     total = np.zeros(max(0, len(word) - WIDTH + 1), np.uint64)
@@ -78,15 +89,50 @@ def extended(n: int, percent: int) -> int:
     return 2 * n * (100 - percent) // 100 + 2
 
 
-def nodes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node; the node of an empty set is null."""
+def sketch(tokens: np.ndarray) -> bytes:
+    """A bit for each place (as many places as tokens, rounded up to a power of two): whether an odd number of tokens falls there.
+
+    Two sets differ in at least as many tokens as their sketches in bits; a longer sketch folds to a shorter one.
+    """
+    places = max(64, 1 << int(len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketch_distance(a: bytes, b: bytes) -> int:
+    """A lower bound of the number of tokens that only one of the sets has."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def lists(rows: list[np.ndarray]) -> pa.Array:
+    bounds = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds), signed(np.concatenate(rows) if rows else np.zeros(0, np.uint64)))
+
+
+def token_table(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, n_shingles, node, sketch, head (the extended prefix) and tail (the other tokens); the node of an empty set is null."""
 
     def run(batches):
         for part, data, offsets in text_slices(batches):
             sets = token_sets(data, offsets)
-            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "n_shingles", "node"])
+            cut = [extended(len(s), percent) for s in sets]
+            columns = [
+                part.column(part.schema.get_field_index("doc_id")).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
+                pa.array([sketch(s) if len(s) else None for s in sets], pa.binary()), lists([s[:k] for s, k in zip(sets, cut, strict=True)]), lists([s[k:] for s, k in zip(sets, cut, strict=True)]),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "node", "sketch", "head", "tail"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, node bigint, sketch binary, head array<bigint>, tail array<bigint>")
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, node bigint")
+
+def values_of(column: pa.Array) -> list[np.ndarray]:
+    """The rows of a list column as unsigned numbers."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    bounds = np.concatenate(([0], np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))))
+    return [flat[a:z] for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
 def class_maps(keys: DataFrame, column: str, **flags) -> dict[str, np.ndarray]:
@@ -106,81 +152,91 @@ def marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def token_classes(docs: DataFrame, percent: int, frequent: int) -> dict[str, np.ndarray]:
+def token_classes(tokens: DataFrame, frequent: int) -> dict[str, np.ndarray]:
     """Maps of the tokens that more than one document, and more than ``frequent``, have in their extended prefixes."""
+    counted = tokens.select(F.explode("head").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return class_maps(counted.where("n > 1"), "token", shared=F.lit(True), frequent=F.col("n") > frequent)
 
-    def run(batches):
-        for _, data, offsets in text_slices(batches):
-            found = [s[: extended(len(s), percent)] for s in token_sets(data, offsets)]
-            token, n = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_arrays([signed(token), pa.array(n.astype(np.int32))], ["token", "n"])
-
-    counted = docs.select("text").mapInArrow(run, "token bigint, n int").groupBy("token").agg(F.sum("n").alias("n"))
-    return class_maps(counted, "token", shared=F.col("n") > 1, frequent=F.col("n") > frequent)
 
-
-def index(docs: DataFrame, maps: dict[str, np.ndarray], percent: int) -> DataFrame:
-    """key, node, n_shingles: what each set is found under."""
-    shared = docs.sparkSession.sparkContext.broadcast(maps)
+def index(tokens: DataFrame, maps: dict[str, np.ndarray], percent: int) -> DataFrame:
+    """key, node: what each set is found under."""
+    shared = tokens.sparkSession.sparkContext.broadcast(maps)
 
     def run(batches):
         m, seen = shared.value, set()
-        for _, data, offsets in text_slices(batches):
-            keys, node, size = [], [], []
-            for s in token_sets(data, offsets):
-                if not len(s) or (own := node_of(s)) in seen:
+        for b in batches:
+            keys, node = [], []
+            for own, n, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), values_of(b.column(2)), strict=True):
+                if own in seen:
                     continue
                 seen.add(own)
-                found = s[: extended(len(s), percent)]
                 often = marked(m["frequent"], found)
-                short = lead(len(s), percent)
+                short = lead(n, percent)
                 if not often[:short].any():
                     found, often = found[:short], often[:short]
                 key = found[marked(m["shared"], found) & ~often]
                 both = np.flatnonzero(often[1:] & often[:-1])
                 if len(both):
                     key = np.concatenate((key, mixed(found[both] * FACTORS[0] + found[both + 1] * FACTORS[1])))
-                keys.append(key), node.append(own), size.append(len(s))
+                keys.append(key), node.append(own)
             n = [len(k) for k in keys]
             if sum(n):
-                yield pa.RecordBatch.from_arrays([signed(np.concatenate(keys)), pa.array(np.repeat(np.array(node, np.int64), n)), pa.array(np.repeat(np.array(size, np.int64), n))], ["key", "node", "n_shingles"])
+                yield pa.RecordBatch.from_arrays([signed(np.concatenate(keys)), pa.array(np.repeat(np.array(node, np.int64), n))], ["key", "node"])
+
+    return tokens.where("node is not null").select("node", "n_shingles", "head").mapInArrow(run, "key bigint, node bigint")
 
-    return docs.select("text").mapInArrow(run, "key bigint, node bigint, n_shingles bigint")
 
+def near(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """The pairs a, b that sizes and sketches don't rule out."""
+    x, y = (profiles.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
+    fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    both = pairs.join(x, "a").join(y, "b").where(fits)
+
+    def run(batches):
+        for batch in batches:
+            rows = zip(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("na", "nb", "sa", "sb")], strict=True)
+            keep = [(100 + percent) * sketch_distance(sa, sb) <= (100 - percent) * (na + nb) for na, nb, sa, sb in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in ("a", "b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
-def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, tokens of the nodes in ``wanted`` (and a few others)."""
-    shared = docs.sparkSession.sparkContext.broadcast(class_maps(wanted, "node", wanted=F.lit(True)))
+
+def sets_of(tokens: DataFrame, pairs: DataFrame) -> DataFrame:
+    """node, tokens of the nodes in ``pairs`` (and a few others)."""
+    wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node")))
+    shared = tokens.sparkSession.sparkContext.broadcast(class_maps(wanted, "node", wanted=F.lit(True)))
 
     def run(batches):
         bits, seen = shared.value["wanted"], set()
-        for _, data, offsets in text_slices(batches):
-            found = [(node_of(s), s) for s in token_sets(data, offsets) if len(s)]
-            hit = marked(bits, np.array([k for k, _ in found], np.int64).view(np.uint64))
-            for (k, s), h in zip(found, hit.tolist(), strict=True):
-                if h and k not in seen:
-                    seen.add(k)
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([s.tobytes()], pa.binary())], ["node", "tokens"])
+        for b in batches:
+            node = b.column(0).to_numpy(zero_copy_only=False)
+            hit = np.flatnonzero(marked(bits, node.view(np.uint64)))
+            fresh = []
+            for i, k in zip(hit.tolist(), node[hit].tolist(), strict=True):
+                if k not in seen:
+                    seen.add(k), fresh.append(i)
+            if fresh:
+                some = b.take(pa.array(fresh))
+                made = [np.concatenate(p).tobytes() for p in zip(values_of(some.column(1)), values_of(some.column(2)), strict=True)]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(made, pa.binary())], ["node", "tokens"])
 
-    return docs.select("text").mapInArrow(run, "node bigint, tokens binary").dropDuplicates(["node"])
+    return tokens.where("node is not null").select("node", "head", "tail").mapInArrow(run, "node bigint, tokens binary").dropDuplicates(["node"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     """The pairs a, b whose sets link."""
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a")
-    right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
-    fits = 100 * F.least(F.length("ta"), F.length("tb")) >= percent * F.greatest(F.length("ta"), F.length("tb"))
-    both = left.join(right, "b").where(fits)
+    sets = materialize(sets_of(tokens, pairs), "sets", "snappy")
+    x, y = (sets.select(F.col("node").alias(c), F.col("tokens").alias(f"t{c}")) for c in "ab")
+    both = pairs.join(x, "a").join(y, "b")
 
     def run(batches):
-        for b in batches:
-            a, z = (b.column(b.schema.get_field_index(c)) for c in ("ta", "tb"))
+        for batch in batches:
             keep = []
-            for x, y in zip(a, z, strict=True):
+            for x, y in zip(*[batch.column(batch.schema.get_field_index(c)) for c in ("ta", "tb")], strict=True):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in ("a", "b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in ("a", "b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
@@ -189,28 +245,28 @@ def join(docs: DataFrame, percent: int = PERCENT, frequent: int = FREQUENT) -> D
     """doc_id, n_shingles, component_id of every row of ``docs``; ``percent`` is the least similarity, 75 at least."""
     if not 75 <= percent <= 100:
         raise ValueError("percent must be between 75 and 100")
-    own = materialize(nodes(docs), "nodes")
-    keys = materialize(index(docs, token_classes(docs, percent, frequent), percent), "index")
+    tokens = materialize(token_table(docs, percent), "tokens", "snappy")
+    own = tokens.select("doc_id", "n_shingles", "node")
+    profiles = materialize(tokens.where("node is not null").select("node", "n_shingles", "sketch").dropDuplicates(["node"]), "profiles")
+    keys = materialize(index(tokens, token_classes(tokens, frequent), percent), "index")
     leaders = materialize(keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").select("key", "a"), "leaders")
     met = materialize(keys.join(leaders, "key"), "met")  # nodes under keys that several have
-    sets = materialize(sets_of(docs, met.select("node").distinct()), "sets")
     stars = met.where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    links = materialize(verified(stars, sets, percent), "links")
+    links = materialize(verified(materialize(near(stars, profiles, percent), "near"), tokens, percent), "links")
     first = components(links)
     # Components of what is linked so far; only pairs of different ones are still of interest.
-    labelled = materialize(met.select("key", "node", "n_shingles").join(first, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "labelled")
-    mixed_keys = materialize(labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"), "mixed")
-    open_rows = materialize(labelled.join(mixed_keys, "key").distinct(), "open")
-    x = open_rows.select("key", F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("comp").alias("ca"))
-    y = open_rows.select("key", F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("comp").alias("cb"))
-    near = (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    rest = x.join(y, "key").where(near).select("a", "b").distinct()
-    more = materialize(verified(rest, sets, percent), "more-links")
+    labelled = materialize(met.select("key", "node").join(first, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(profiles.select("node", "n_shingles"), "node"), "labelled")
+    several = materialize(labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"), "several")
+    still = materialize(labelled.join(several, "key").distinct(), "open")
+    x, y = (still.select("key", F.col("node").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("comp").alias(f"c{c}")) for c in "ab")
+    open_pair = (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    rest = materialize(near(x.join(y, "key").where(open_pair).select("a", "b").distinct(), profiles, percent), "near")
+    more = materialize(verified(rest, tokens, percent), "more-links")
     final = first if more.isEmpty() else components(links.unionAll(more))
     # Documents: the least id of each node, then of each component.
     ids = own.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     of_node = materialize(ids.join(final, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "node-components")
-    least = of_node.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    least = materialize(of_node.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "component-names")
     named = materialize(of_node.join(least, "comp").select("node", "component_id"), "node-names")
     out = own.join(named, "node", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
