@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from statefold.llm import language_id, max_score, n_gram_join, packing, pieces_codec, quality_classifier, quality_rules, secret_forest, token_files, toxicity
 from statefold.llm.common import table
+from statefold.llm.sql import SQL
 
 
 def tokenizer_path(name: str) -> str:
@@ -76,5 +77,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["pipeline"] = pipeline
 
-#: DuckDB SQL of the queries that SQL can express.
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
