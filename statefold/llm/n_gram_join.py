@@ -8,9 +8,10 @@ token that only one of them has keeps at most one pair of common tokens from bei
 as combinations of two where both are frequent, else by the rare one. Classes come from counts over all documents; they
 are a function of the token, so they decide how much is compared, never what links.
 
-Sets that are equal are one node. The nodes under a key are first compared with one leader of the key; what links becomes
-a component, and only pairs of nodes from different components are compared afterwards, so large groups of copies are
-never expanded into pairs, and no link that could join two components is left out.
+Sets that are equal are one node. A rare key has few nodes, whose pairs are candidates. The many nodes under a combined
+key are first compared with one leader of the key; what links becomes a component, and only pairs of nodes from different
+components are compared afterwards, so large groups of copies are never expanded into pairs, and no link that could join
+two components is left out. Sizes and sketches rule out most pairs; the sets of the others are compared in full.
 
 Nodes and tokens are 64-bit hashes. Cases: null and empty texts have no shingles and link with nothing; shorter texts are
 one shingle; repeated rows link; a null id stays null and doesn't name a component; an empty table gives no rows.
@@ -30,8 +31,10 @@ from statefold.llm.components import components
 WIDTH, PERCENT = 5, 75
 #: A token in more documents than this is of the frequent class.
 FREQUENT = 32
-#: log2 of the bits of a class map: 4 MB each, whatever the input. When it fills up, more is compared, with equal results.
-MAP_BITS = 25
+#: log2 of the bits of a class map: 16 MB, whatever the input. When it fills up, more is compared, with equal results.
+MAP_BITS = 27
+#: Bits of a token by which it is counted; tokens that agree in them are counted together, with equal results.
+COUNT_BITS = 40
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
@@ -113,19 +116,18 @@ def lists(rows: list[np.ndarray]) -> pa.Array:
 
 
 def token_table(docs: DataFrame, percent: int) -> DataFrame:
-    """doc_id, n_shingles, node, sketch, head (the extended prefix) and tail (the other tokens); the node of an empty set is null."""
+    """doc_id, n_shingles, node, sketch and head (the extended prefix); the node of an empty set is null."""
 
     def run(batches):
         for part, data, offsets in text_slices(batches):
             sets = token_sets(data, offsets)
-            cut = [extended(len(s), percent) for s in sets]
             columns = [
                 part.column(part.schema.get_field_index("doc_id")).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
-                pa.array([sketch(s) if len(s) else None for s in sets], pa.binary()), lists([s[:k] for s, k in zip(sets, cut, strict=True)]), lists([s[k:] for s, k in zip(sets, cut, strict=True)]),
+                pa.array([sketch(s) if len(s) else None for s in sets], pa.binary()), lists([s[: extended(len(s), percent)] for s in sets]),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "node", "sketch", "head", "tail"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "node", "sketch", "head"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, node bigint, sketch binary, head array<bigint>, tail array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, node bigint, sketch binary, head array<bigint>")
 
 
 def values_of(column: pa.Array) -> list[np.ndarray]:
@@ -135,37 +137,37 @@ def values_of(column: pa.Array) -> list[np.ndarray]:
     return [flat[a:z] for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
-def class_maps(keys: DataFrame, column: str, **flags) -> dict[str, np.ndarray]:
-    """For each named condition a map of 2**MAP_BITS bits, set where a key with the condition falls; ORed together before they reach the driver."""
-    place = F.col(column).bitwiseAND((1 << MAP_BITS) - 1)
+def class_maps(keys: DataFrame, column: str, bits: int = MAP_BITS, **flags) -> dict[str, np.ndarray]:
+    """For each named condition a map of 2**bits bits, set where a key with the condition falls; ORed together before they reach the driver."""
+    place = F.col(column).bitwiseAND((1 << bits) - 1)
     bit = F.expr(f"shiftleft(1L, cast({column} & 63 AS int))")
     words = keys.groupBy(F.shiftright(place, 6).cast("int").alias("word")).agg(*[F.bit_or(F.when(c, bit).otherwise(F.lit(0).cast("long"))).alias(k) for k, c in flags.items()]).toArrow()
     at, out = words.column("word").to_numpy(), {}
     for k in flags:
-        out[k] = np.zeros(1 << (MAP_BITS - 6), np.uint64)
+        out[k] = np.zeros(1 << (bits - 6), np.uint64)
         out[k][at] = words.column(k).to_numpy().view(np.uint64)
     return out
 
 
 def marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    place = keys & np.uint64((1 << MAP_BITS) - 1)
+    place = keys & np.uint64(64 * len(bits) - 1)
     return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
 def token_classes(tokens: DataFrame, frequent: int) -> dict[str, np.ndarray]:
     """Maps of the tokens that more than one document, and more than ``frequent``, have in their extended prefixes."""
-    counted = tokens.select(F.explode("head").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    seen = tokens.select(F.explode("head").alias("token")).select(F.col("token").bitwiseAND((1 << COUNT_BITS) - 1).alias("token"))
+    counted = seen.groupBy("token").agg(F.count("*").alias("n"))
     return class_maps(counted.where("n > 1"), "token", shared=F.lit(True), frequent=F.col("n") > frequent)
 
 
-def index(tokens: DataFrame, maps: dict[str, np.ndarray], percent: int) -> DataFrame:
-    """key, node: what each set is found under."""
-    shared = tokens.sparkSession.sparkContext.broadcast(maps)
+def index(tokens: DataFrame, shared, percent: int, pairs: bool) -> DataFrame:
+    """key, node, n_shingles: what each set is found under, by single tokens of the rare class or by pairs of the frequent class."""
 
     def run(batches):
         m, seen = shared.value, set()
         for b in batches:
-            keys, node = [], []
+            keys, node, size = [], [], []
             for own, n, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), values_of(b.column(2)), strict=True):
                 if own in seen:
                     continue
@@ -174,16 +176,27 @@ def index(tokens: DataFrame, maps: dict[str, np.ndarray], percent: int) -> DataF
                 short = lead(n, percent)
                 if not often[:short].any():
                     found, often = found[:short], often[:short]
-                key = found[marked(m["shared"], found) & ~often]
-                both = np.flatnonzero(often[1:] & often[:-1])
-                if len(both):
-                    key = np.concatenate((key, mixed(found[both] * FACTORS[0] + found[both + 1] * FACTORS[1])))
-                keys.append(key), node.append(own)
+                if pairs:
+                    both = np.flatnonzero(often[1:] & often[:-1])
+                    key = mixed(found[both] * FACTORS[0] + found[both + 1] * FACTORS[1])
+                else:
+                    rare = found[~often]
+                    key = rare[marked(m["shared"], rare)]
+                keys.append(key), node.append(own), size.append(n)
             n = [len(k) for k in keys]
             if sum(n):
-                yield pa.RecordBatch.from_arrays([signed(np.concatenate(keys)), pa.array(np.repeat(np.array(node, np.int64), n))], ["key", "node"])
+                yield pa.RecordBatch.from_arrays([signed(np.concatenate(keys)), *[pa.array(np.repeat(np.array(x, np.int64), n)) for x in (node, size)]], ["key", "node", "n_shingles"])
 
-    return tokens.where("node is not null").select("node", "n_shingles", "head").mapInArrow(run, "key bigint, node bigint")
+    return tokens.where("node is not null").select("node", "n_shingles", "head").mapInArrow(run, "key bigint, node bigint, n_shingles bigint")
+
+
+def rare_pairs(singles: DataFrame, percent: int) -> DataFrame:
+    """a, b: nodes of a fitting size under one key of the rare class, which at most FREQUENT documents have."""
+    under = singles.groupBy("key").agg(F.collect_set(F.struct("node", "n_shingles")).alias("xs")).where(F.size("xs") > 1)
+    fits = f"100 * least(x.n_shingles, y.n_shingles) >= {percent} * greatest(x.n_shingles, y.n_shingles)"
+    pair = "struct(least(x.node, y.node) AS a, greatest(x.node, y.node) AS b)"
+    made = f"flatten(transform(xs, (x, i) -> transform(filter(slice(xs, i + 2, size(xs)), y -> {fits}), y -> {pair})))"
+    return under.select(F.explode(F.expr(made)).alias("p")).select("p.a", "p.b").distinct()
 
 
 def near(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
@@ -201,31 +214,27 @@ def near(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
-def sets_of(tokens: DataFrame, pairs: DataFrame) -> DataFrame:
+def sets_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """node, tokens of the nodes in ``pairs`` (and a few others)."""
     wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node")))
-    shared = tokens.sparkSession.sparkContext.broadcast(class_maps(wanted, "node", wanted=F.lit(True)))
+    shared = docs.sparkSession.sparkContext.broadcast(class_maps(wanted, "node", 24, wanted=F.lit(True)))
 
     def run(batches):
         bits, seen = shared.value["wanted"], set()
-        for b in batches:
-            node = b.column(0).to_numpy(zero_copy_only=False)
-            hit = np.flatnonzero(marked(bits, node.view(np.uint64)))
-            fresh = []
-            for i, k in zip(hit.tolist(), node[hit].tolist(), strict=True):
-                if k not in seen:
-                    seen.add(k), fresh.append(i)
+        for _, data, offsets in text_slices(batches):
+            found = [(node_of(s), s) for s in token_sets(data, offsets) if len(s)]
+            hit = marked(bits, np.array([k for k, _ in found], np.int64).view(np.uint64))
+            fresh = {k: s for (k, s), h in zip(found, hit.tolist(), strict=True) if h and k not in seen}
+            seen.update(fresh)
             if fresh:
-                some = b.take(pa.array(fresh))
-                made = [np.concatenate(p).tobytes() for p in zip(values_of(some.column(1)), values_of(some.column(2)), strict=True)]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(made, pa.binary())], ["node", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(fresh), pa.int64()), pa.array([s.tobytes() for s in fresh.values()], pa.binary())], ["node", "tokens"])
 
-    return tokens.where("node is not null").select("node", "head", "tail").mapInArrow(run, "node bigint, tokens binary").dropDuplicates(["node"])
+    return docs.select("text").mapInArrow(run, "node bigint, tokens binary").dropDuplicates(["node"])
 
 
-def verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """The pairs a, b whose sets link."""
-    sets = materialize(sets_of(tokens, pairs), "sets", "snappy")
+def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The pairs a, b whose sets link; only the sets in ``pairs`` are made again from the texts."""
+    sets = materialize(sets_of(docs, pairs), "sets", "snappy")
     x, y = (sets.select(F.col("node").alias(c), F.col("tokens").alias(f"t{c}")) for c in "ab")
     both = pairs.join(x, "a").join(y, "b")
 
@@ -248,20 +257,22 @@ def join(docs: DataFrame, percent: int = PERCENT, frequent: int = FREQUENT) -> D
     tokens = materialize(token_table(docs, percent), "tokens", "snappy")
     own = tokens.select("doc_id", "n_shingles", "node")
     profiles = materialize(tokens.where("node is not null").select("node", "n_shingles", "sketch").dropDuplicates(["node"]), "profiles")
-    keys = materialize(index(tokens, token_classes(tokens, frequent), percent), "index")
-    leaders = materialize(keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").select("key", "a"), "leaders")
-    met = materialize(keys.join(leaders, "key"), "met")  # nodes under keys that several have
-    stars = met.where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    links = materialize(verified(materialize(near(stars, profiles, percent), "near"), tokens, percent), "links")
+    maps = docs.sparkSession.sparkContext.broadcast(token_classes(tokens, frequent))
+    few = rare_pairs(index(tokens, maps, percent, pairs=False), percent)
+    combined = materialize(index(tokens, maps, percent, pairs=True).distinct(), "combined")
+    leaders = materialize(combined.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").select("key", "a"), "leaders")
+    met = materialize(combined.join(leaders, "key"), "met")
+    stars = met.where("node <> a").select("a", F.col("node").alias("b"))
+    links = materialize(verified(materialize(near(few.unionAll(stars).distinct(), profiles, percent), "near"), docs, percent), "links")
     first = components(links)
-    # Components of what is linked so far; only pairs of different ones are still of interest.
-    labelled = materialize(met.select("key", "node").join(first, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(profiles.select("node", "n_shingles"), "node"), "labelled")
+    # Components of what is linked so far; under the combined keys, only pairs of different ones are still of interest.
+    labelled = materialize(met.select("key", "node", "n_shingles").join(first, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "labelled")
     several = materialize(labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"), "several")
-    still = materialize(labelled.join(several, "key").distinct(), "open")
+    still = materialize(labelled.join(several, "key"), "open")
     x, y = (still.select("key", F.col("node").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("comp").alias(f"c{c}")) for c in "ab")
     open_pair = (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     rest = materialize(near(x.join(y, "key").where(open_pair).select("a", "b").distinct(), profiles, percent), "near")
-    more = materialize(verified(rest, tokens, percent), "more-links")
+    more = materialize(verified(rest, docs, percent), "more-links")
     final = first if more.isEmpty() else components(links.unionAll(more))
     # Documents: the least id of each node, then of each component.
     ids = own.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
