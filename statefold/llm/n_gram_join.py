@@ -8,10 +8,11 @@ token that only one of them has keeps at most one pair of common tokens from bei
 as combinations of two where both are frequent, else by the rare one. Classes come from counts over all documents; they
 are a function of the token, so they decide how much is compared, never what links.
 
-Sets that are equal are one node. A rare key has few nodes, whose pairs are candidates. The many nodes under a combined
-key are first compared with one leader of the key; what links becomes a component, and only pairs of nodes from different
-components are compared afterwards, so large groups of copies are never expanded into pairs, and no link that could join
-two components is left out. Sizes and sketches rule out most pairs; the sets of the others are compared in full.
+Sets that are equal are one node. Sets with too many tokens of their own are left out, as they link with nothing. A rare
+key has few nodes, whose pairs are candidates. The many nodes under a combined key are first compared with one leader of
+the key, a few times; what links becomes a component, and afterwards all pairs of nodes from different components are
+compared, in blocks, so large groups of copies are never expanded into pairs, and no link that could join two components
+is left out. Sizes and sketches rule out most pairs; the sets of the others are compared in full.
 
 Nodes and tokens are 64-bit hashes. Cases: null and empty texts have no shingles and link with nothing; shorter texts are
 one shingle; repeated rows link; a null id stays null and doesn't name a component; an empty table gives no rows.
@@ -19,6 +20,8 @@ one shingle; repeated rows link; a null id stays null and doesn't name a compone
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -31,6 +34,8 @@ from statefold.llm.components import components
 WIDTH, PERCENT = 5, 75
 #: A token in more documents than this is of the frequent class.
 FREQUENT = 32
+#: Leaders that each combined key tries before all its pairs are compared, and nodes of a block of these.
+ROUNDS, BLOCK = 3, 4096
 #: log2 of the bits of a class map: 16 MB, whatever the input. When it fills up, more is compared, with equal results.
 MAP_BITS = 27
 #: Bits of a token by which it is counted; tokens that agree in them are counted together, with equal results.
@@ -110,31 +115,20 @@ def sketch_distance(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def lists(rows: list[np.ndarray]) -> pa.Array:
-    bounds = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(bounds), signed(np.concatenate(rows) if rows else np.zeros(0, np.uint64)))
-
-
-def token_table(docs: DataFrame, percent: int) -> DataFrame:
-    """doc_id, n_shingles, node, sketch and head (the extended prefix); the node of an empty set is null."""
+def nodes(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, node; the node of an empty set is null."""
 
     def run(batches):
         for part, data, offsets in text_slices(batches):
             sets = token_sets(data, offsets)
-            columns = [
-                part.column(part.schema.get_field_index("doc_id")).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
-                pa.array([sketch(s) if len(s) else None for s in sets], pa.binary()), lists([s[: extended(len(s), percent)] for s in sets]),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "node", "sketch", "head"])
+            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "n_shingles", "node"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, node bigint, sketch binary, head array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, node bigint")
 
 
-def values_of(column: pa.Array) -> list[np.ndarray]:
-    """The rows of a list column as unsigned numbers."""
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-    bounds = np.concatenate(([0], np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))))
-    return [flat[a:z] for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+def numbers_in(column: pa.Array) -> list[np.ndarray]:
+    """The rows of a binary column as unsigned 64-bit numbers."""
+    return [np.frombuffer(v.as_buffer(), np.uint64) for v in column]
 
 
 def class_maps(keys: DataFrame, column: str, bits: int = MAP_BITS, **flags) -> dict[str, np.ndarray]:
@@ -154,40 +148,63 @@ def marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def token_classes(tokens: DataFrame, frequent: int) -> dict[str, np.ndarray]:
-    """Maps of the tokens that more than one document, and more than ``frequent``, have in their extended prefixes."""
-    seen = tokens.select(F.explode("head").alias("token")).select(F.col("token").bitwiseAND((1 << COUNT_BITS) - 1).alias("token"))
-    counted = seen.groupBy("token").agg(F.count("*").alias("n"))
+def token_classes(docs: DataFrame, frequent: int) -> dict[str, np.ndarray]:
+    """Maps of the tokens that more than one document, and more than ``frequent``, have; every token of every document is counted."""
+
+    def run(batches):
+        for _, data, offsets in text_slices(batches):
+            token, n = np.unique(np.concatenate(token_sets(data, offsets)) & np.uint64((1 << COUNT_BITS) - 1), return_counts=True)
+            yield pa.RecordBatch.from_arrays([signed(token), pa.array(n.astype(np.int32))], ["token", "n"])
+
+    counted = docs.select("text").mapInArrow(run, "token bigint, n int").groupBy("token").agg(F.sum("n").alias("n"))
     return class_maps(counted.where("n > 1"), "token", shared=F.lit(True), frequent=F.col("n") > frequent)
 
 
-def index(tokens: DataFrame, shared, percent: int, pairs: bool) -> DataFrame:
+def candidates(docs: DataFrame, maps, percent: int) -> DataFrame:
+    """node, n_shingles, sketch, tokens of the sets that can link at all.
+
+    A token that no other document has is missing from every other set. A set with more than 1-t of these has too little
+    in common with any other, whatever that is; most sets end here.
+    """
+
+    def run(batches):
+        shared, seen = maps.value["shared"], set()
+        for _, data, offsets in text_slices(batches):
+            kept: dict[int, np.ndarray] = {}
+            for s in token_sets(data, offsets):
+                if len(s) and 100 * int(np.count_nonzero(~marked(shared, s))) <= (100 - percent) * len(s) and (own := node_of(s)) not in seen:
+                    seen.add(own)
+                    kept[own] = s
+            if kept:
+                yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.int64()), pa.array([len(s) for s in kept.values()], pa.int64()), *[pa.array([f(s) for s in kept.values()], pa.binary()) for f in (sketch, np.ndarray.tobytes)]], ["node", "n_shingles", "sketch", "tokens"])
+
+    return docs.select("text").mapInArrow(run, "node bigint, n_shingles bigint, sketch binary, tokens binary").dropDuplicates(["node"])
+
+
+def index(sets: DataFrame, maps, percent: int, pairs: bool) -> DataFrame:
     """key, node, n_shingles: what each set is found under, by single tokens of the rare class or by pairs of the frequent class."""
 
     def run(batches):
-        m, seen = shared.value, set()
+        m = maps.value
         for b in batches:
-            keys, node, size = [], [], []
-            for own, n, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), values_of(b.column(2)), strict=True):
-                if own in seen:
-                    continue
-                seen.add(own)
+            keys, node, size = [], b.column(0).to_numpy(), b.column(1).to_numpy()
+            for n, tokens in zip(size.tolist(), numbers_in(b.column(2)), strict=True):
+                found = tokens[: extended(n, percent)]
                 often = marked(m["frequent"], found)
                 short = lead(n, percent)
                 if not often[:short].any():
                     found, often = found[:short], often[:short]
                 if pairs:
                     both = np.flatnonzero(often[1:] & often[:-1])
-                    key = mixed(found[both] * FACTORS[0] + found[both + 1] * FACTORS[1])
+                    keys.append(mixed(found[both] * FACTORS[0] + found[both + 1] * FACTORS[1]))
                 else:
                     rare = found[~often]
-                    key = rare[marked(m["shared"], rare)]
-                keys.append(key), node.append(own), size.append(n)
+                    keys.append(rare[marked(m["shared"], rare)])
             n = [len(k) for k in keys]
             if sum(n):
-                yield pa.RecordBatch.from_arrays([signed(np.concatenate(keys)), *[pa.array(np.repeat(np.array(x, np.int64), n)) for x in (node, size)]], ["key", "node", "n_shingles"])
+                yield pa.RecordBatch.from_arrays([signed(np.concatenate(keys)), pa.array(np.repeat(node, n)), pa.array(np.repeat(size, n))], ["key", "node", "n_shingles"])
 
-    return tokens.where("node is not null").select("node", "n_shingles", "head").mapInArrow(run, "key bigint, node bigint, n_shingles bigint")
+    return sets.select("node", "n_shingles", "tokens").mapInArrow(run, "key bigint, node bigint, n_shingles bigint")
 
 
 def rare_pairs(singles: DataFrame, percent: int) -> DataFrame:
@@ -199,9 +216,9 @@ def rare_pairs(singles: DataFrame, percent: int) -> DataFrame:
     return under.select(F.explode(F.expr(made)).alias("p")).select("p.a", "p.b").distinct()
 
 
-def near(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+def near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs a, b that sizes and sketches don't rule out."""
-    x, y = (profiles.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
+    x, y = (sets.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
     fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
     both = pairs.join(x, "a").join(y, "b").where(fits)
 
@@ -214,27 +231,70 @@ def near(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
-def sets_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """node, tokens of the nodes in ``pairs`` (and a few others)."""
-    wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node")))
-    shared = docs.sparkSession.sparkContext.broadcast(class_maps(wanted, "node", 24, wanted=F.lit(True)))
+def near_in_group(node: np.ndarray, size: np.ndarray, comp: np.ndarray, block: np.ndarray, ends: tuple[int, int], sketches: list[bytes], percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of nodes under one key, of different components and of the blocks ``ends``, that sizes and sketches don't rule out."""
+    places = np.array([len(x) for x in sketches])
+    out = []
+    for p in np.unique(places).tolist():  # sizes that fit differ by less than two, so sketches by one folding at most
+        low = np.flatnonzero(places == p)
+        a = np.frombuffer(b"".join(sketches[i] for i in low), np.uint64).reshape(len(low), -1)
+        for q in (p, 2 * p):
+            high = np.flatnonzero(places == q)
+            if not len(high):
+                continue
+            b = np.frombuffer(b"".join(sketches[i] for i in high), np.uint64).reshape(len(high), -1)
+            b = b if q == p else b[:, : b.shape[1] // 2] ^ b[:, b.shape[1] // 2 :]
+            for i, bits in zip(low.tolist(), a, strict=True):
+                total = size[i] + size[high]
+                some = (comp[high] != comp[i]) & (100 * np.minimum(size[i], size[high]) >= percent * np.maximum(size[i], size[high]))
+                some &= ((block[high] == ends[0]) & (block[i] == ends[1])) | ((block[high] == ends[1]) & (block[i] == ends[0]))
+                if p == q:
+                    some &= high > i
+                at = np.flatnonzero(some)
+                at = at[(100 + percent) * np.bitwise_count(b[at] ^ bits).sum(1, dtype=np.int64) <= (100 - percent) * total[at]]
+                if len(at):
+                    found = node[high[at]]
+                    out.append((np.minimum(found, node[i]), np.maximum(found, node[i])))
+    return out
 
-    def run(batches):
-        bits, seen = shared.value["wanted"], set()
-        for _, data, offsets in text_slices(batches):
-            found = [(node_of(s), s) for s in token_sets(data, offsets) if len(s)]
-            hit = marked(bits, np.array([k for k, _ in found], np.int64).view(np.uint64))
-            fresh = {k: s for (k, s), h in zip(found, hit.tolist(), strict=True) if h and k not in seen}
-            seen.update(fresh)
-            if fresh:
-                yield pa.RecordBatch.from_arrays([pa.array(list(fresh), pa.int64()), pa.array([s.tobytes() for s in fresh.values()], pa.binary())], ["node", "tokens"])
 
-    return docs.select("text").mapInArrow(run, "node bigint, tokens binary").dropDuplicates(["node"])
+def near_across(rows: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """a, b: the pairs of nodes under a key (rows: key, node, n_shingles, comp) of different components that may link.
 
+    A key with many nodes is dealt in blocks of about ``block`` and each pair of blocks is a group of its own; what
+    sketches rule out never becomes a row.
+    """
+    parts = rows.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    split = rows.join(parts, "key").withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
+    met = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
+    full = met.join(sets.select("node", "sketch"), "node").select("key", "x", "y", "node", "n_shingles", "comp", "block", "sketch")
+    dealt = full.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
 
-def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs a, b whose sets link; only the sets in ``pairs`` are made again from the texts."""
-    sets = materialize(sets_of(docs, pairs), "sets", "snappy")
+    def run(batches):
+        rest = None
+        for b in chain(batches, [None]):
+            t = b if rest is None else rest if b is None else pa.Table.from_batches([rest, b]).combine_chunks().to_batches()[0]
+            if t is None or not t.num_rows:
+                continue
+            key = np.stack([t.column(i).to_numpy().astype(np.int64) for i in range(3)], 1)
+            starts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(1))))
+            whole = t.num_rows if b is None else int(starts[-1])  # the last group may go on in the next batch
+            rest = None if b is None else t.slice(whole)
+            found = []
+            node, size, comp, own = (t.column(i).to_numpy() for i in range(3, 7))
+            sketches = t.column(7)
+            for i, j in zip(starts.tolist(), [*starts[1:].tolist(), t.num_rows], strict=True):
+                if j <= whole and j - i > 1:
+                    found += near_in_group(node[i:j], size[i:j], comp[i:j], own[i:j], (int(key[i, 1]), int(key[i, 2])), sketches.slice(i, j - i).to_pylist(), percent)
+            if found:
+                pairs = np.unique(np.stack([np.concatenate(x) for x in zip(*found, strict=True)], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs a, b whose sets link."""
     x, y = (sets.select(F.col("node").alias(c), F.col("tokens").alias(f"t{c}")) for c in "ab")
     both = pairs.join(x, "a").join(y, "b")
 
@@ -250,30 +310,35 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
-def join(docs: DataFrame, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
+def join(docs: DataFrame, percent: int = PERCENT, frequent: int = FREQUENT, rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``; ``percent`` is the least similarity, 75 at least."""
     if not 75 <= percent <= 100:
         raise ValueError("percent must be between 75 and 100")
-    tokens = materialize(token_table(docs, percent), "tokens", "snappy")
-    own = tokens.select("doc_id", "n_shingles", "node")
-    profiles = materialize(tokens.where("node is not null").select("node", "n_shingles", "sketch").dropDuplicates(["node"]), "profiles")
-    maps = docs.sparkSession.sparkContext.broadcast(token_classes(tokens, frequent))
-    few = rare_pairs(index(tokens, maps, percent, pairs=False), percent)
-    combined = materialize(index(tokens, maps, percent, pairs=True).distinct(), "combined")
-    leaders = materialize(combined.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").select("key", "a"), "leaders")
-    met = materialize(combined.join(leaders, "key"), "met")
-    stars = met.where("node <> a").select("a", F.col("node").alias("b"))
-    links = materialize(verified(materialize(near(few.unionAll(stars).distinct(), profiles, percent), "near"), docs, percent), "links")
-    first = components(links)
-    # Components of what is linked so far; under the combined keys, only pairs of different ones are still of interest.
-    labelled = materialize(met.select("key", "node", "n_shingles").join(first, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "labelled")
-    several = materialize(labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"), "several")
-    still = materialize(labelled.join(several, "key"), "open")
-    x, y = (still.select("key", F.col("node").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("comp").alias(f"c{c}")) for c in "ab")
-    open_pair = (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    rest = materialize(near(x.join(y, "key").where(open_pair).select("a", "b").distinct(), profiles, percent), "near")
-    more = materialize(verified(rest, docs, percent), "more-links")
-    final = first if more.isEmpty() else components(links.unionAll(more))
+    own = materialize(nodes(docs), "nodes")
+    maps = docs.sparkSession.sparkContext.broadcast(token_classes(docs, frequent))
+    sets = materialize(candidates(docs, maps, percent), "sets", "snappy")
+    few = rare_pairs(index(sets, maps, percent, pairs=False), percent)
+    links = materialize(verified(materialize(near(few, sets, percent), "near"), sets, percent), "links")
+    comps = components(links)
+    combined = materialize(index(sets, maps, percent, pairs=True), "combined")
+    for turn in range(rounds + 1):
+        # Under the combined keys, only pairs of nodes from different components are still of interest.
+        rows = materialize(combined.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "labelled")
+        spread = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.xxhash64("node", F.lit(turn))).alias("first")).where("lo < hi")
+        several = materialize(spread.select("key", "first"), "several")
+        if several.isEmpty():
+            break
+        still = materialize(rows.join(several, "key"), "open")
+        if turn < rounds:  # one leader of each key, another each time
+            leaders = still.where(F.xxhash64("node", F.lit(turn)) == F.col("first")).select("key", F.col("node").alias("leader"), F.col("comp").alias("led"))
+            met = still.join(materialize(leaders, "leaders"), "key").where("comp <> led")
+            found = near(met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), sets, percent)
+        else:  # all that is left
+            found = near_across(still.drop("first"), sets, percent, block)
+        more = materialize(verified(materialize(found, "near"), sets, percent), "links")
+        links = materialize(links.unionAll(more), "links")
+        comps = components(links)
+    final = comps
     # Documents: the least id of each node, then of each component.
     ids = own.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     of_node = materialize(ids.join(final, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "node-components")
