@@ -53,8 +53,8 @@ def corpus(seed):
     return out
 
 
-@pytest.mark.parametrize("seed,frequent", [(1, 32), (2, 4), (3, 1)])
-def test_components_equal_brute_force(spark, seed, frequent):
+@pytest.mark.parametrize("seed,frequent,rounds", [(1, 32, 3), (2, 4, 1), (3, 1, 0)])
+def test_components_equal_brute_force(spark, seed, frequent, rounds):
     made = corpus(seed)
     docs = spark.createDataFrame(list(enumerate(made)), "doc_id bigint, text string")
     sets = [shingles(t) for t in made]
@@ -62,7 +62,7 @@ def test_components_equal_brute_force(spark, seed, frequent):
     least = {}
     for i, r in enumerate(roots):
         least.setdefault(r, i)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.join(docs, frequent=frequent).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.join(docs, frequent=frequent, rounds=rounds, block=8).collect()}
     assert got == {i: (len(s), least[roots[i]]) for i, s in enumerate(sets)}
 
 
