@@ -20,6 +20,7 @@ one shingle; repeated rows link; a null id stays null and doesn't name a compone
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statefold.llm.common import coded, materialize, strings_at, text_slices, word_spans
+from statefold.llm.common import coded, materialize, ragged, strings_at, text_slices, word_spans
 from statefold.llm.components import components
 
 WIDTH, PERCENT = 5, 75
@@ -36,8 +37,11 @@ WIDTH, PERCENT = 5, 75
 FREQUENT = 32
 #: Leaders that each combined key tries before all its pairs are compared, and nodes of a block of these.
 ROUNDS, BLOCK = 3, 4096
-#: log2 of the bits of a class map: 16 MB, whatever the input. When it fills up, more is compared, with equal results.
-MAP_BITS = 27
+#: Keys of each node that tell under which key a pair is reported.
+HEAD = 8
+NO_KEY = np.iinfo(np.int64).max
+#: log2 of the bits of a class map: 8 MB, whatever the input. When it fills up, more is compared, with equal results.
+MAP_BITS = 26
 #: Bits of a token by which it is counted; tokens that agree in them are counted together, with equal results.
 COUNT_BITS = 40
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
@@ -231,43 +235,66 @@ def near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
-def near_in_group(node: np.ndarray, size: np.ndarray, comp: np.ndarray, block: np.ndarray, ends: tuple[int, int], sketches: list[bytes], percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of nodes under one key, of different components and of the blocks ``ends``, that sizes and sketches don't rule out."""
-    places = np.array([len(x) for x in sketches])
-    out = []
-    for p in np.unique(places).tolist():  # sizes that fit differ by less than two, so sketches by one folding at most
-        low = np.flatnonzero(places == p)
-        a = np.frombuffer(b"".join(sketches[i] for i in low), np.uint64).reshape(len(low), -1)
-        for q in (p, 2 * p):
-            high = np.flatnonzero(places == q)
-            if not len(high):
-                continue
-            b = np.frombuffer(b"".join(sketches[i] for i in high), np.uint64).reshape(len(high), -1)
-            b = b if q == p else b[:, : b.shape[1] // 2] ^ b[:, b.shape[1] // 2 :]
-            for i, bits in zip(low.tolist(), a, strict=True):
-                total = size[i] + size[high]
-                some = (comp[high] != comp[i]) & (100 * np.minimum(size[i], size[high]) >= percent * np.maximum(size[i], size[high]))
-                some &= ((block[high] == ends[0]) & (block[i] == ends[1])) | ((block[high] == ends[1]) & (block[i] == ends[0]))
-                if p == q:
-                    some &= high > i
-                at = np.flatnonzero(some)
-                at = at[(100 + percent) * np.bitwise_count(b[at] ^ bits).sum(1, dtype=np.int64) <= (100 - percent) * total[at]]
-                if len(at):
-                    found = node[high[at]]
-                    out.append((np.minimum(found, node[i]), np.maximum(found, node[i])))
-    return out
+@dataclass(frozen=True)
+class Group:
+    """The nodes of one or two blocks under one key; ``heads`` are each node's least open keys."""
+
+    key: int
+    ends: tuple[int, int]
+    node: np.ndarray
+    size: np.ndarray
+    comp: np.ndarray
+    block: np.ndarray
+    sketches: list[bytes]
+    heads: np.ndarray
+
+    def reported_here(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Whether this is the least key that a node's head shares with the others' heads; true as well where heads share none."""
+        same = (self.heads[others][:, :, None] == self.heads[i][None, None, :]).any(2)
+        least = np.where(same, self.heads[others], NO_KEY).min(1)
+        return (least == self.key) | (least == NO_KEY)
+
+    def near(self, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of nodes of different components and of the blocks ``ends`` that sizes and sketches don't rule out."""
+        places = np.array([len(x) for x in self.sketches])
+        out = []
+        for p in np.unique(places).tolist():  # sizes that fit differ by less than two, so sketches by one folding at most
+            low = np.flatnonzero(places == p)
+            a = np.frombuffer(b"".join(self.sketches[i] for i in low), np.uint64).reshape(len(low), -1)
+            for q in (p, 2 * p):
+                high = np.flatnonzero(places == q)
+                if not len(high):
+                    continue
+                b = np.frombuffer(b"".join(self.sketches[i] for i in high), np.uint64).reshape(len(high), -1)
+                b = b if q == p else b[:, : b.shape[1] // 2] ^ b[:, b.shape[1] // 2 :]
+                for i, bits in zip(low.tolist(), a, strict=True):
+                    n, m = self.size[i], self.size[high]
+                    some = (self.comp[high] != self.comp[i]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+                    x, y = self.ends
+                    some &= ((self.block[high] == x) & (self.block[i] == y)) | ((self.block[high] == y) & (self.block[i] == x))
+                    if p == q:
+                        some &= high > i
+                    at = np.flatnonzero(some)
+                    at = at[(100 + percent) * np.bitwise_count(b[at] ^ bits).sum(1, dtype=np.int64) <= (100 - percent) * (n + m[at])]
+                    at = high[at]
+                    at = at[self.reported_here(i, at)] if len(at) else at
+                    if len(at):
+                        out.append((np.minimum(self.node[at], self.node[i]), np.maximum(self.node[at], self.node[i])))
+        return out
 
 
 def near_across(rows: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
     """a, b: the pairs of nodes under a key (rows: key, node, n_shingles, comp) of different components that may link.
 
     A key with many nodes is dealt in blocks of about ``block`` and each pair of blocks is a group of its own; what
-    sketches rule out never becomes a row.
+    sketches rule out never becomes a row. A pair is reported under one key, except for pairs whose heads share none.
     """
     parts = rows.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     split = rows.join(parts, "key").withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
     met = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
-    full = met.join(sets.select("node", "sketch"), "node").select("key", "x", "y", "node", "n_shingles", "comp", "block", "sketch")
+    heads = rows.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("key")), 1, HEAD).alias("head"))  # of a document's own keys
+    known = materialize(heads.join(sets.select("node", "sketch"), "node"), "heads")
+    full = met.join(known, "node").select("key", "x", "y", "node", "n_shingles", "comp", "block", "sketch", "head")
     dealt = full.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
 
     def run(batches):
@@ -282,10 +309,14 @@ def near_across(rows: DataFrame, sets: DataFrame, percent: int, block: int = BLO
             rest = None if b is None else t.slice(whole)
             found = []
             node, size, comp, own = (t.column(i).to_numpy() for i in range(3, 7))
-            sketches = t.column(7)
+            sketches, lists = t.column(7), t.column(8)
+            width = lists.value_lengths().to_numpy()
+            heads = np.full((t.num_rows, HEAD), NO_KEY)
+            heads[np.repeat(np.arange(t.num_rows), width), ragged(np.zeros(t.num_rows, np.int64), width)] = lists.flatten().to_numpy()
             for i, j in zip(starts.tolist(), [*starts[1:].tolist(), t.num_rows], strict=True):
                 if j <= whole and j - i > 1:
-                    found += near_in_group(node[i:j], size[i:j], comp[i:j], own[i:j], (int(key[i, 1]), int(key[i, 2])), sketches.slice(i, j - i).to_pylist(), percent)
+                    here = Group(int(key[i, 0]), (int(key[i, 1]), int(key[i, 2])), node[i:j], size[i:j], comp[i:j], own[i:j], sketches.slice(i, j - i).to_pylist(), heads[i:j])
+                    found += here.near(percent)
             if found:
                 pairs = np.unique(np.stack([np.concatenate(x) for x in zip(*found, strict=True)], 1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
