@@ -1,6 +1,8 @@
 """Secret scan with a random forest that removes false positives.
 
-Candidates are maximal runs of 16 or more key-like characters with a digit. Their numbers (length, classes of characters
+Candidates are maximal runs of 16 or more key-like characters with a digit, in which "=" can only be padding at the end, so
+that a NAME= stays in the text before; tokens of several parts with known beginnings; and values of 6 or more characters
+of any kind that are assigned to an asking name. Their numbers (length, classes of characters
 and changes between them, dictionary coverage, path-likeness, neighbouring words) are SQL expressions; a random forest
 trained from labelled findings decides. Everything runs in the JVM: expressions, the forest's training and its scores.
 
@@ -19,8 +21,17 @@ from pyspark.sql import functions as F
 
 from statefold.llm.common import materialize
 
-#: A candidate: a whole run of these characters with a digit.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=\-])(?=[A-Za-z+/_=\-]*[0-9])[A-Za-z0-9+/_=\-]{16,}+"
+#: A whole run of these characters with a digit; "=" ends it as padding, and a run that "=" makes the name of a value is none.
+KEY = r"[A-Za-z0-9+/_\-]"
+RUN = rf"(?<!{KEY})(?={KEY}{{16}}|{KEY}{{15}}=|{KEY}{{14}}==)(?=[A-Za-z+/_\-]*[0-9]){KEY}{{14,}}+(?:={{1,2}}(?!=|[\"'`]?{KEY}))?+(?!=)"
+#: Tokens of several parts.
+DOTTED = r"(?<![A-Za-z0-9+/_.\-])(?:eyJ[A-Za-z0-9_\-]{6,}+|SG|hvs|ya29)(?:\.[A-Za-z0-9_\-]{8,}+){1,4}+"
+#: A value assigned to an asking name, up to a blank, quote or bracket, unless it is called or indexed. The short looks behind come first for speed.
+ASKING_NAME = r"(?i:secret(?!ar)|token(?!i[sz])|passw|passphrase|pwd|api.?key|access.?key|auth(?!or(?!i))|credential|private.?key|client.?key)[A-Za-z0-9_\-]{0,16}"
+ASSIGNED = rf"{ASKING_NAME}[\"'`]?[ \t]{{0,2}}(?:=>|:=|={{1,3}}|:)[ \t]{{0,2}}[\"'`]?"
+BEARER = r"(?i:bearer)[ \t]{1,2}"
+ASKED = rf"(?<=[=:> \t\"'`])(?<=[=:>][ \t\"'`]{{0,3}}|{BEARER})(?<={ASSIGNED}|{BEARER})(?![=:>])(?>[^\s\"'`,;<>(){{}}\[\]&|\\]{{5,}}[^\s\"'`,;<>(){{}}\[\]&|\\.])(?![(\[])"
+CANDIDATE = f"(?:{ASKED}|{DOTTED}|{RUN})"
 #: Characters of context that the numbers look at, before and after.
 BEFORE, AFTER = 48, 24
 MASK = "<SECRET>"
@@ -34,6 +45,8 @@ DICTIONARY = (
 ).split()
 ASKING = r"(secret|token|passw|pwd|api.?key|apikey|access.?key|auth|bearer|credential|private.?key|client.?key)"
 NAMING = r"(sha-?\d*|commit|md5|checksum|digest|hash|uuid|guid|etag|integrity|revision|base64,|build|version|isbn|order|phone|card)"
+#: What stands where a secret is to be filled in, and names of types.
+DUMMY = r"(your|example|placeholder|change.?me|dummy|sample|xxx|\*\*\*|\$|%|todo|insert|redacted|none|null|true|false|required|optional|string|hidden|empty|secret|password|token)"
 #: Fixed beginnings of keys of known issuers.
 ISSUED = r"^(AKIA|ASIA|gh[pousr]_|sk_live_|sk-|xox[abprs]-|AIza|glpat-|npm_|SG\.|eyJ)"
 
@@ -70,10 +83,15 @@ def numbers() -> dict[str, Column]:
         "named_next": flag(before.rlike(r"\b" + NAMING + r"\W{0,12}$")),
         "assigned": flag(before.rlike(r"(=|:|=>|bearer)\s*[\"'`]?$")),
         "quoted": flag(before.rlike(r"[\"'`]$") & after.rlike("^[\"'`]")),
+        "equals": flag(before.rlike(r"=>?\s*[\"'`]?$")),
+        "password": flag(before.rlike(r"(passw|pwd|passphrase)\w*[\"'`]?\W{0,6}$")),
+        "dummy": flag(low.rlike(DUMMY)),
+        "dots": F.length(c) - F.length(F.translate(c, ".", "")),
+        "marks": F.regexp_count(c, F.lit(r"[^A-Za-z0-9+/_=.\-]")),
     }
 
 
-NAMES = tuple("length digits upper lower other changes spoken letter_runs distinct hex dashed repeats dictionary slashes joins path issued asked asked_next named_next assigned quoted".split())
+NAMES = tuple("length digits upper lower other changes spoken letter_runs distinct hex dashed repeats dictionary slashes joins path issued asked asked_next named_next assigned quoted equals password dummy dots marks".split())
 
 
 def split_rows(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
@@ -87,21 +105,24 @@ def split_rows(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     )
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """row, doc_id, position, start, candidate, before, after; ``start`` counts characters from 0."""
-    some = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).where(F.col("text").rlike(CANDIDATE))
+def candidates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """row, ``keep``, position, start, candidate, before, after; ``start`` counts characters from 0."""
+    some = docs.select(*keep, "text", F.monotonically_increasing_id().alias("row")).where(F.col("text").rlike(CANDIDATE))
     order = Window.partitionBy("row").orderBy("position")
     size = F.length("piece") + F.coalesce(F.length("candidate"), F.lit(0))
-    rows = split_rows(some, ("row", "doc_id")).select(
-        "row", "doc_id", "position", "candidate", size.alias("size"), F.substring("piece", -BEFORE, BEFORE).alias("before"), F.substring("piece", 1, AFTER).alias("head")
+    rows = split_rows(some, ("row", *keep)).select(
+        "row", *keep, "position", "candidate", size.alias("size"), F.substring("piece", -BEFORE, BEFORE).alias("before"), F.substring("piece", 1, AFTER).alias("head")
     )
     placed = rows.withColumn("end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("after", F.lead("head").over(order))
     found = placed.where(F.col("candidate").isNotNull())
-    return found.select("row", "doc_id", "position", (F.col("end") - F.length("candidate")).alias("start"), "candidate", "before", "after")
+    return found.select("row", *keep, "position", (F.col("end") - F.length("candidate")).alias("start"), "candidate", "before", "after")
 
 
 def labelled_findings(spark: SparkSession, rows: int = 6_000) -> DataFrame:
-    """candidate, before, after, label: findings made from rules, each kind as often; a bounded table for training."""
+    """candidate, before, after, label: findings in texts made from rules, each kind as often; a bounded table for training.
+
+    The texts are cut as those to be scanned are, and what is found in them is positive if it is in a made secret or has it inside.
+    """
     h = lambda salt: F.sha2(F.concat(F.col("id").cast("string"), F.lit(salt)), 256)
     pick = lambda salt, *xs: F.element_at(F.array(*[x if isinstance(x, Column) else F.lit(x) for x in xs]), (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(xs))) + 1).cast("int"))
     mixed = F.regexp_replace(F.base64(F.unhex(F.concat(h("a"), h("b")))), "[+/=\\r\\n]", "")
@@ -116,11 +137,33 @@ def labelled_findings(spark: SparkSession, rows: int = 6_000) -> DataFrame:
     digits = F.substring(F.conv(F.substring(h("n"), 1, 15), 16, 10), 1, 16)
     parts = [word("v"), word("w"), F.initcap(word("x")), F.concat(word("y"), F.pmod("id", F.lit(31)).cast("string"))]
     joined = pick("join", *[F.concat_ws(x, *parts) for x in ("_", "-", "")])
+    settings = pick("set", "API_KEY=", "auth_token=", "AWS_SECRET_ACCESS_KEY=", "SECRET_KEY_BASE=", "export TOKEN=", "DB_PASSWORD=", "client_secret=", "GITHUB_TOKEN=", "?access_token=", "apikey=", "-e PRIVATE_KEY=")
+    others = pick("other", "COMMIT=", "git_sha=", "sha256=", "REVISION=", "build_id=", "md5=", "checksum=", "ETAG=", "?id=", "order_id=")
+    passwords = pick("pass", "password = ", "PASSWORD=", "passwd: ", '"password": ', "db_password=", "pwd=", "MYSQL_PWD=", "root_password: ", "secret = ", "passphrase = ", "password=")
+    spoken = lambda salt, a, z: F.substring(F.translate(h(salt), "0123456789abcdef", "aeioubdfglmnprst"), 1, F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(z - a)).cast("int") + a)
+    marked = F.concat(F.initcap(spoken("m", 5, 10)), pick("mark", "!", "@", "#", "-", ""), F.pmod("id", F.lit(9973)).cast("string"), pick("mark2", "!", "", "?", "*"))
+    secrets = pick("word", marked, F.substring(mixed, 1, 10), F.substring(mixed, 5, 14), F.regexp_replace(F.substring(mixed, 1, 30), "[0-9]", ""), spoken("s", 8, 24))
+    stops = pick("stop", "\n", " ", "&x=1", "", ";")
+    jwt = F.concat(F.lit("eyJ"), F.substring(mixed, 1, 17), F.lit(".eyJ"), F.substring(raw64, 1, 40), F.lit("."), F.substring(F.concat(mixed, mixed), 1, 43))
+    jwt = F.translate(jwt, "+/=", "-_")
+    issued = pick("issued", F.concat(F.lit("AKIA"), F.upper(F.substring(mixed, 1, 16))), F.concat(F.lit("ghp_"), F.substring(mixed, 1, 36)), F.concat(F.lit("sk_live_"), F.substring(mixed, 1, 24)), F.concat(F.lit("xoxb-"), digits, F.lit("-"), F.substring(mixed, 1, 24)))
+    dummies = pick("dummies", "your_password", "changeme", "your-token-here", "placeholder", "example", "xxxxxxxx", "********", "${DB_PASSWORD}", "$TOKEN", "required", "string", "undefined", "password", "optional", "disabled")
+    looked_up = F.concat(pick("object", "self.", "config.", "request.", "settings.", "os.environ.", "args.", "this.props."), pick("member", "token", "password", "secret", "auth_token", "api_key", "headers", "credentials"))
     kinds = [
+        (F.concat(prose, settings), pick("value", hexes, F.substring(mixed, 1, 40), F.substring(raw64, 1, 44), F.substring(mixed, 1, 20)), stops, 1),
+        (F.concat(prose, pick("any_set", settings, others, F.lit("KEY="))), issued, stops, 1),
+        (F.concat(prose, pick("jwt", asks, settings, F.lit("Authorization: Bearer "), F.lit("cookie "), F.lit('"'))), jwt, pick("jwt_stop", " ", '"', "\n"), 1),
+        (F.concat(prose, passwords, F.lit('"')), secrets, F.lit('"'), 1),
+        (F.concat(prose, passwords), pick("bare", marked, F.substring(mixed, 1, 12), F.substring(mixed, 5, 8)), stops, 1),
+        (F.concat(prose, settings), pick("short", F.substring(mixed, 1, 10), F.substring(h("k"), 1, 12), marked), stops, 1),
+        (F.concat(prose, others), pick("value0", hexes, dashed, digits, F.substring(h("k"), 1, 24)), stops, 0),
+        (F.concat(prose, pick("asking0", passwords, settings, asks), quote), dummies, quote, 0),
+        (F.concat(prose, pick("asking1", passwords, settings, asks)), looked_up, pick("end", "\n", ",", ")", " "), 0),
+        (F.concat(prose, pick("prose0", "password: ", "token: ", "secret: ", "the bearer ", "Auth: ", "credentials: ", "passwords: ")), pick("said", F.concat(word("d"), word("e")), spoken("q", 6, 12)), pick("prose1", " of the", " and ", ", which"), 0),
         (F.concat(prose, asks, quote), hexes, quote, 1),
         (F.concat(prose, asks, quote), F.substring(mixed, 1, 40), quote, 1),
         (F.concat(prose, asks, quote), F.substring(raw64, 1, 44), quote, 1),
-        (F.concat(prose, pick("any", "", "key ", "= ", '"'), F.lit("")), pick("issued", F.concat(F.lit("AKIA"), F.upper(F.substring(mixed, 1, 16))), F.concat(F.lit("ghp_"), F.substring(mixed, 1, 36)), F.concat(F.lit("sk_live_"), F.substring(mixed, 1, 24)), F.concat(F.lit("xoxb-"), digits, F.lit("-"), F.substring(mixed, 1, 24))), F.lit(" "), 1),
+        (F.concat(prose, pick("any", "", "key ", "= ", '"'), F.lit("")), issued, F.lit(" "), 1),
         (F.concat(prose, names, quote), hexes, quote, 0),
         (F.concat(prose, pick("id", "id=", "", "uuid: ", "request ")), dashed, F.lit(" "), 0),
         (F.concat(prose, pick("tel", "", "card ", "order ", "phone: ")), F.lpad(digits, 16, "4"), F.lit(" the"), 0),
@@ -133,7 +176,11 @@ def labelled_findings(spark: SparkSession, rows: int = 6_000) -> DataFrame:
     made = F.lit(None)
     for k, (before, candidate, after, label) in enumerate(kinds):
         made = F.when(F.pmod("id", F.lit(len(kinds))) == k, F.struct(before.alias("before"), candidate.alias("candidate"), after.alias("after"), F.lit(label).cast("double").alias("label"))).otherwise(made)
-    return spark.range(rows).select(made.alias("x")).select("x.*")
+    # Written before they are cut: the rules are a large expression, which plans would repeat.
+    texts = materialize(spark.range(rows).select(made.alias("x")), "made-texts").select("x.label", F.col("x.candidate").alias("made"), F.concat("x.before", "x.candidate", "x.after").alias("text"))
+    found = candidates(texts, ("label", "made"))
+    meant = F.contains("made", "candidate") | F.contains("candidate", "made")
+    return materialize(found.select("candidate", "before", F.coalesce("after", F.lit("")).alias("after"), F.when(meant, F.col("label")).otherwise(0.0).alias("label")), "labelled-findings")
 
 
 def with_vector(rows: DataFrame) -> DataFrame:

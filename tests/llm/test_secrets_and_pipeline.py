@@ -36,6 +36,30 @@ def test_candidates_equal_a_scan_by_hand(spark, small, edges):
     assert got == want
 
 
+JWT = "eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9.eyJzdWIiOiIxMjM0NTY3ODkwIiwibmFtZSI6IkpvaG4ifQ.SflKxwRJSMeKKF2QT4fwpMeJf36POk6yJV_adQssw5c"
+GITHUB, AWS = "ghp_16C7e42F292c6912E7710c838347Ae178B4a", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzQ9x7LmA2b"
+
+
+def test_names_stay_out_of_candidates(spark):
+    rows = {
+        f"API_KEY={KEY}": [(KEY, "API_KEY=")], f"export AWS_SECRET_ACCESS_KEY2={AWS}\n": [(AWS, "export AWS_SECRET_ACCESS_KEY2=")], "x abcdefghijk01234== y": [("abcdefghijk01234==", "x ")],
+        f"Bearer {JWT}": [(JWT, "Bearer ")], 'password = "hunter2!"': [("hunter2!", 'password = "')], "db_pwd=correcthorse;": [("correcthorse", "db_pwd=")],
+        "token = tokenizer.encode(text)": [], "author: somebody": [], "key words and tokens of a text": [],
+    }
+    got = secret_forest.candidates(texts(spark, *rows)).orderBy("doc_id", "start").collect()
+    assert [[(r.candidate, r.before) for r in got if r.doc_id == i] for i in range(len(rows))] == list(rows.values())
+
+
+def test_assigned_secrets_are_masked(spark, forest):
+    secrets = {f"API_KEY={KEY}": "API_KEY=", f"auth_token={GITHUB}": "auth_token=", f"AWS_SECRET_ACCESS_KEY={AWS}": "AWS_SECRET_ACCESS_KEY=", f"Authorization: Bearer {JWT}": "Authorization: Bearer ", "DB_PASSWORD=Tr0ub4dor37": "DB_PASSWORD=", 'password = "Wombat#4417"': 'password = "', 'password = "qzRtKwPdmXeLv"': 'password = "'}
+    plain = [f"commit={KEY}", f"sha256={KEY}{KEY[:24]}", "password = required", "password: ${DB_PASSWORD}", "token = self.auth_token", "API_KEY=your_api_key_here_1"]
+    masked = {r.doc_id: r.text for r in secret_forest.redact(texts(spark, *secrets, *plain), forest).collect()}
+    for i, (text, left) in enumerate(secrets.items()):
+        assert secret_forest.MASK in masked[i], text
+        assert masked[i].startswith(left + secret_forest.MASK)
+    assert [masked[len(secrets) + i] for i in range(len(plain))] == plain
+
+
 def test_redaction_masks_secrets_and_nothing_else(spark, forest, edges, nothing):
     docs = texts(spark, f'a token = "{KEY}" b token = "{KEY}" c', f"commit {KEY}", None, "").withColumn("n_chars", F.length("text")).withColumn("piece", F.lit(1))
     rows = {r.doc_id: r for r in secret_forest.redact(docs, forest).collect()}
