@@ -66,6 +66,36 @@ def cuts_of_words(data: np.ndarray) -> np.ndarray:
     return (data == 0x20) & visible | line | after_line | POINT[data] & after_letter | letter & POINT[one]
 
 
+def added_strings(path: str) -> tuple[frozenset[str], bool]:
+    """(strings of a vocabulary's added tokens, whether the library looks for all of them as they stand in the raw text)."""
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f).get("added_tokens") or []
+    return frozenset(t["content"] for t in added), not any(t.get(x) for t in added for x in ("single_word", "lstrip", "rstrip", "normalized"))
+
+
+def cutter(path: str) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """``cuts_of_words`` for a vocabulary: each occurrence of an added token's string is a chunk of its own.
+
+    Texts are left whole where the library doesn't look for added tokens in the raw text only.
+    """
+    added, raw = added_strings(path)
+    if not raw:
+        return lambda data, offsets: np.zeros(len(data), bool)
+    found = re.compile(b"|".join(re.escape(x.encode()) for x in sorted(added, key=len, reverse=True))) if added else None
+
+    def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        out = cuts_of_words(data)
+        text = np.ascontiguousarray(data).data
+        if found and found.search(text):
+            for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                for m in found.finditer(text, a, z):
+                    out[m.start() : m.end()] = False
+                    out[[x for x in m.span() if x < len(out)]] = True
+        return out
+
+    return cuts
+
+
 def cuts_before_spaces(data: np.ndarray) -> np.ndarray:
     """Bytes at which a run of spaces or word markers (U+2581) begins with a space."""
     if len(data) < 3:
@@ -146,21 +176,22 @@ def word_form(spec: dict) -> Callable[[str], str] | None:
 
 
 def hub_encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
-    """Encodes by the tokenizers library; strings of special tokens are ordinary text. Single words go straight to the library's model."""
+    """Encodes by the tokenizers library as it is, without tokens of a template. Single words go straight to the library's model."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     with open(path, encoding="utf-8") as f:
         form = word_form(json.load(f))
+    added, raw = added_strings(path)
+    form = form if raw else None
     letters, model = byte_letters(), tokenizer.model
 
     def encode(chunks: list[str]) -> list[list[int]]:
         out: list[list[int] | None] = [None] * len(chunks)
         other = []
         for i, c in enumerate(chunks):
-            if form and WORD.fullmatch(c):
+            if form and WORD.fullmatch(c) and c not in added:
                 out[i] = [t.id for t in model.tokenize(form(c).encode().decode("latin1").translate(letters))]
             else:
                 other.append(i)

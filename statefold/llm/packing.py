@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from statefold.llm.chunk_table import IdTable, cuts_of_words, hub_encoder, with_end
+from statefold.llm.chunk_table import IdTable, cutter, hub_encoder, with_end
 from statefold.llm.common import materialize, text_slices
 
 WINDOW, END_ID = 2048, 1
@@ -85,9 +85,9 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
-        table, seen, task = IdTable(hub_encoder(tokenizer)), np.zeros(window + 1, np.int64), TaskContext.get().partitionId()
+        table, cuts, seen, task = IdTable(hub_encoder(tokenizer)), cutter(tokenizer), np.zeros(window + 1, np.int64), TaskContext.get().partitionId()
         for part, data, offsets in text_slices(batches):
-            ids, at = with_end(*table.ids(data, offsets, cuts_of_words(data)), end)
+            ids, at = with_end(*table.ids(data, offsets, cuts(data, offsets)), end)
             ids = ids.astype("<u4")
             size = np.diff(at)
             n = -(-size // window)

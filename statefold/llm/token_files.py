@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statefold.llm.chunk_table import IdTable, cuts_of_words, hub_encoder, with_end
+from statefold.llm.chunk_table import IdTable, cutter, hub_encoder, with_end
 from statefold.llm.common import materialize, new_shared_path, text_slices
 
 END_ID = 1
@@ -78,11 +78,11 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end: int = END_ID) -> Da
     def run(batches):
         from tokenizers import Tokenizer
 
-        table = IdTable(hub_encoder(tokenizer))
+        table, cuts = IdTable(hub_encoder(tokenizer)), cutter(tokenizer)
         width = 2 if max(Tokenizer.from_file(tokenizer).get_vocab_size() - 1, end) < 1 << 16 else 4
         out = PartWriter(folder, width)
         for part, data, offsets in text_slices(batches):
-            out.add(part.column(part.schema.get_field_index("doc_id")).cast(pa.int64()), *with_end(*table.ids(data, offsets, cuts_of_words(data)), end))
+            out.add(part.column(part.schema.get_field_index("doc_id")).cast(pa.int64()), *with_end(*table.ids(data, offsets, cuts(data, offsets)), end))
         out.close()
         yield pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "name": out.name, "n_null": out.null, "n_docs": out.docs, "n_ids": out.ids, "width": width}], pa.schema([("part", pa.int32()), ("name", pa.string()), ("n_null", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("width", pa.int32())]))
 

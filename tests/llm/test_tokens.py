@@ -1,6 +1,7 @@
 """Packing, SentencePiece tables and token files against the libraries themselves."""
 
 import hashlib
+import json
 import random
 import zlib
 
@@ -12,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from statefold.llm import packing, pieces_codec, token_files
-from statefold.llm.chunk_table import IdTable, cuts_of_words, hub_encoder
+from statefold.llm.chunk_table import IdTable, cuts_of_words, cutter, hub_encoder
 from statefold.llm.common import text_slices
 
 BYTE, WORD, PIECE = (P.path(x) for x in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
@@ -46,6 +47,58 @@ def test_chunks_give_the_ids_of_whole_texts(path, rows):
     assert through_table(path, rows) == [tokenizer.encode(x, add_special_tokens=False).ids for x in rows]
 
 
+def by_default(path):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+SPECIAL = st.lists(st.sampled_from([*LETTERS, "<|endoftext|>", "<|startoftext|>", "<|endof", "text|>", "\n", "e\u0301"]), max_size=20).map("".join)
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_added_tokens_are_as_by_default(path):
+    tokenizer, cuts, table = by_default(path), cutter(path), IdTable(hub_encoder(path), 50)
+
+    @given(rows=st.lists(SPECIAL, min_size=1, max_size=20))
+    @settings(max_examples=150, deadline=None)
+    def check(rows):
+        rows, out = ["a <|endoftext|> b", "x<|endof", "text|>", *rows], []
+        batch = pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], ["text"])
+        for _, data, offsets in text_slices(iter([batch]), most=400):
+            ids, n = table.ids(data, offsets, cuts(data, offsets))
+            out += [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+        assert out == [tokenizer.encode(x, add_special_tokens=False).ids for x in rows]
+        assert tokenizer.token_to_id("<|endoftext|>") in out[0]
+
+    check()
+
+
+@pytest.mark.parametrize("kind", [{"normalized": True}, {"single_word": True}, {"lstrip": True}])
+def test_other_added_tokens_are_as_by_default(tmp_path, kind):
+    with open(BYTE, encoding="utf-8") as f:
+        spec = json.load(f)
+    token = {"content": "lazydog", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": False}
+    for more in (kind, {}):
+        spec["added_tokens"] = [*[t for t in spec["added_tokens"] if t["content"] != "lazydog"], token | more | {"id": 50257}]
+        path = str(tmp_path / f"{len(more)}.json")
+        with open(path, "w", encoding="utf-8") as f:
+            json.dump(spec, f)
+        tokenizer, rows = by_default(path), ["a lazydog lazydogs x", "lazydog"]
+        data = np.frombuffer("".join(rows).encode(), np.uint8)
+        offsets = np.cumsum([0, *map(len, rows)])
+        ids, n = IdTable(hub_encoder(path)).ids(data, offsets, cutter(path)(data, offsets))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [tokenizer.encode(x, add_special_tokens=False).ids for x in rows]
+
+
+def test_operators_keep_added_tokens(spark):
+    docs = spark.createDataFrame([(0, "a <|endoftext|> b"), (1, "<|startoftext|>x<|endoftext|>"), (2, "c")], "doc_id bigint, text string")
+    crc = lambda x: zlib.crc32(np.array(x, "<u4").tobytes())
+    ids = lambda path: {r.doc_id: [*by_default(path).encode(r.text, add_special_tokens=False).ids, 1] for r in docs.collect()}
+    assert {r.doc_id: r.ids_crc32 for r in packing.pack(docs, BYTE).collect()} == {k: crc(x) for k, x in ids(BYTE).items()}
+    assert {r.doc_id: r.ids_crc32 for r in token_files.write_and_read(docs, WORD).collect()} == {k: crc(x) for k, x in ids(WORD).items()}
+
+
 @given(rows=st.lists(texts, min_size=1, max_size=20))
 @settings(max_examples=60, deadline=None)
 def test_marked_words_give_the_pieces_of_whole_texts(rows):
