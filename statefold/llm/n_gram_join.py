@@ -1,238 +1,338 @@
 """N-gram Jaccard join with token-combination prefixes.
 
-Tokens are hashed five-word shingles in the order of their hashes. Of two sets of n and m tokens that link, the least
-common token is among the first (1-t)n + 1 of the one and (1-t)m + 1 of the other. Rare tokens of these prefixes are
-indexed one by one. A token of the frequent class leads to too many sets for that, so a set with one in its prefix has
-its prefix extended to 2(1-t)n + 2: there, two linked sets have two common tokens that are neighbours in both, because each
-token that only one of them has keeps at most one pair of common tokens from being neighbours. Such neighbours are indexed
-as combinations of two where both are frequent, else by the rare one. Classes come from counts over all documents; they
-are a function of the token, so they decide how much is compared, never what links.
-
-Sets that are equal are one node. Sets with too many tokens of their own are left out, as they link with nothing. A rare
-key has few nodes, whose pairs are candidates. The many nodes under a combined key are first compared with one leader of
-the key, a few times; what links becomes a component, and afterwards all pairs of nodes from different components are
-compared, in blocks, so large groups of copies are never expanded into pairs, and no link that could join two components
-is left out. Sizes and sketches rule out most pairs; the sets of the others are compared in full.
-
-Nodes and tokens are 64-bit hashes. Cases: null and empty texts have no shingles and link with nothing; shorter texts are
-one shingle; repeated rows link; a null id stays null and doesn't name a component; an empty table gives no rows.
+Tokens are hashed five-word shingles. Those that more than FREQUENT documents have are the frequent class; a set's tokens
+are taken in the order (class, hash), rare ones first. Of two sets of n and m tokens that link, the least common token is
+among the first (1-t)n + 1 of the one and (1-t)m + 1 of the other. Where it is rare, both sets are indexed under it, singly,
+and a rare token leads to FREQUENT sets at most. Where it is frequent, neither set has rare tokens enough to fill that
+prefix, and each has it extended to 2(1-t)n + 2 tokens: there, two linked sets have two common tokens that are neighbours in
+both, because each token that only one of them has keeps at most one pair of common tokens from being neighbours. Frequent
+neighbours are indexed as combinations of two. The class is one function of the token, counted over all documents; it
+decides how much is compared, never what links.
+
+Counting and indexing deal tokens out by buckets of their leading bits, as packed arrays: a row is what a part of the
+documents has in a bucket. A bucket holds a bounded number of tokens, and a token more than FREQUENT documents have is one
+number a part, so no text that all documents share makes a bucket large.
+
+Equal sets, told by 128 bits, are one node; its number is its first row's. Pairs under rare tokens are candidates. The
+many nodes under a combined key are first compared with one leader of the key, a few times; what links becomes a component,
+and afterwards all pairs of nodes from different components are compared, in blocks, so large groups of copies are never
+expanded into pairs, and no link that could join two components is left out. Sizes and sketches rule out most pairs; the
+sets of the others are made again from their texts and compared in full.
+
+Cases: null and empty texts have no shingles and link with nothing; shorter texts are one shingle; repeated rows link; a
+null id stays null and doesn't name a component; an empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statefold.llm.common import coded, materialize, ragged, strings_at, text_slices, word_spans
+from statefold.llm.common import materialize, ragged
 from statefold.llm.components import components
+from statefold.llm.shingles import FACTORS, Sets, extended, identity, lead, mixed, set_slices, sketch, sketch_distance
 
-WIDTH, PERCENT = 5, 75
+PERCENT = 75
 #: A token in more documents than this is of the frequent class.
 FREQUENT = 32
+#: Frequent tokens that are sent to every task; if there are more, tokens and classes meet in a join.
+CLASS_BOUND = 1 << 21
+#: Documents that are looked up by broadcast ids; if there are more, by a join that shuffles texts.
+LOOKUP_BOUND = 1 << 20
+#: Tokens that a task gathers before it deals them out, and tokens of a bucket (about).
+CHUNK, BUCKET = 1 << 20, 1 << 20
+#: Steps in which sizes double, where a size is one byte.
+SIZE_STEPS = 12
 #: Leaders that each combined key tries before all its pairs are compared, and nodes of a block of these.
 ROUNDS, BLOCK = 3, 4096
 #: Keys of each node that tell under which key a pair is reported.
 HEAD = 8
 NO_KEY = np.iinfo(np.int64).max
-#: log2 of the bits of a class map: 8 MB, whatever the input. When it fills up, more is compared, with equal results.
-MAP_BITS = 26
-#: Bits of a token by which it is counted; tokens that agree in them are counted together, with equal results.
-COUNT_BITS = 40
-FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
+def signed(x) -> pa.Array:
+    return pa.array(np.asarray(x, np.uint64).view(np.int64))
 
 
-BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * FACTORS[0])
+def numbers_in(column: pa.Array, kind=np.uint64) -> list[np.ndarray]:
+    """The rows of a binary column as arrays; null is empty."""
+    return [np.frombuffer(v.as_buffer(), kind) if v.is_valid else np.zeros(0, kind) for v in column]
 
 
-def word_hashes(words: pa.Array) -> np.ndarray:
-    """A 64-bit hash of each word: its bytes' values times factors of their places, added up."""
-    offsets = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, words.offset * 8)
-    data = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-    starts = offsets[:-1] - offsets[0]
-    place = (np.arange(len(data)) - np.repeat(starts, np.diff(offsets))).astype(np.uint64)
-    return mixed(np.add.reduceat(BYTE_VALUES[data] * (mixed((place + np.uint64(1)) * FACTORS[2]) | np.uint64(1)), starts))
+def batch_of(**columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], list(columns))
 
 
-def token_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """Each row's distinct shingle hashes in ascending order."""
-    lower = data + np.uint8(32) * ((data >= 65) & (data <= 90)).astype(np.uint8)
-    starts, ends, row = word_spans(lower, offsets)
-    code, words = coded(strings_at(lower, starts, ends))
-    word = word_hashes(words)[code] if len(code) else np.zeros(0, np.uint64)
-    n = np.bincount(row, minlength=len(offsets) - 1)
-    first = np.concatenate(([0], np.cumsum(n)))
-    total = np.zeros(max(0, len(word) - WIDTH + 1), np.uint64)
-    for i in range(WIDTH):
-        total += word[i : i + len(total)] * FACTORS[i]
-    total, out = mixed(total), []
-    for k, at in zip(n.tolist(), first.tolist(), strict=False):
-        if k >= WIDTH:
-            out.append(np.unique(total[at : at + k - WIDTH + 1]))
-        else:
-            out.append(mixed((word[at : at + k] * FACTORS[:k]).sum(keepdims=True, dtype=np.uint64) + np.uint64(k)) if k else np.zeros(0, np.uint64))
-    return out
+# -- buckets ---------------------------------------------------------------------------------------------------------
 
 
-def node_of(tokens: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
+def bucket_bits(docs: DataFrame, bucket: int = BUCKET) -> int:
+    """log2 of the number of buckets: so many that one holds about ``bucket`` tokens, and four to a shuffle partition."""
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    least = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // (6 * bucket))
+    return min(30, max(1, int(least - 1).bit_length()))
 
 
-def signed(x) -> pa.Array:
-    return pa.array(np.asarray(x, np.uint64).view(np.int64))
+def places(tokens: np.ndarray, bits: int) -> np.ndarray:
+    """What a token is counted and indexed by: its bucket and 32 bits more. Tokens that agree in them count as one, with equal results."""
+    return tokens >> np.uint64(32 - bits)
 
 
-def lead(n: int, percent: int) -> int:
-    return n * (100 - percent) // 100 + 1
+def in_buckets(place: np.ndarray, bits: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """(buckets that sorted places fall in, where each begins and ends)."""
+    ends = np.searchsorted(place, np.arange(1 << bits, dtype=np.uint64) << np.uint64(32), "left").tolist() + [len(place)]
+    spans = [(k, a, z) for k, (a, z) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if z > a]
+    return np.array([k for k, _, _ in spans], np.int32), [(a, z) for _, a, z in spans]
 
 
-def extended(n: int, percent: int) -> int:
-    return 2 * n * (100 - percent) // 100 + 2
+def dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition("bucket").sortWithinPartitions("bucket")
 
 
-def sketch(tokens: np.ndarray) -> bytes:
-    """A bit for each place (as many places as tokens, rounded up to a power of two): whether an odd number of tokens falls there.
+def grouped(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[pa.Table]:
+    """The runs of rows that agree in their first ``keys`` columns, whole, from sorted batches."""
+    rest = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b])
+        t = t if rest is None else pa.concat_tables([rest, t]).combine_chunks()
+        key = np.stack([t.column(i).to_numpy().astype(np.int64) for i in range(keys)], 1)
+        edges = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist()]
+        for i, j in zip(edges[:-1], edges[1:], strict=True):
+            yield t.slice(i, j - i)
+        rest = t.slice(edges[-1])  # may go on in the next batch
+    if rest is not None:
+        yield rest
 
-    Two sets differ in at least as many tokens as their sketches in bits; a longer sketch folds to a shorter one.
-    """
-    places = max(64, 1 << int(len(tokens) - 1).bit_length())
-    odd = np.bincount((tokens & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
+def frequent_tokens(texts: DataFrame, bits: int, frequent: int) -> DataFrame:
+    """place: of the tokens that more than ``frequent`` documents have; every token of every document is counted."""
 
-def sketch_distance(a: bytes, b: bytes) -> int:
-    """A lower bound of the number of tokens that only one of the sets has."""
-    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
+    def packed(tokens: list[np.ndarray]) -> pa.RecordBatch:
+        place, n = np.unique(places(np.concatenate(tokens), bits), return_counts=True)
+        bucket, spans = in_buckets(place, bits)
+        low, several = place.astype(np.uint32), n > 1
+        once = [low[a:z][~several[a:z]].tobytes() for a, z in spans]
+        more, times = ([x[a:z][several[a:z]].astype(np.uint32).tobytes() for a, z in spans] for x in (low, n))
+        return batch_of(bucket=bucket, once=pa.array(once, pa.binary()), more=pa.array(more, pa.binary()), times=pa.array(times, pa.binary()))
 
+    def gather(batches):
+        held, size = [], 0
+        for _, sets in set_slices(batches):
+            held.append(sets.tokens)
+            size += len(sets.tokens)
+            if size >= CHUNK:
+                yield packed(held)
+                held, size = [], 0
+        if size:
+            yield packed(held)
 
-def nodes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node; the node of an empty set is null."""
+    def count(batches):
+        for t in grouped(batches):
+            once, more, times = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint32) for c in ("once", "more", "times"))
+            once = np.sort(once)
+            first = np.flatnonzero(np.concatenate(([True], once[1:] != once[:-1]))) if len(once) else np.zeros(0, np.int64)
+            place, back = np.unique(np.concatenate((once[first], more)), return_inverse=True)
+            n = np.bincount(back, np.concatenate((np.diff(np.append(first, len(once))), times)), len(place))
+            found = place[n > frequent].astype(np.uint64) | np.uint64(t.column("bucket")[0].as_py() << 32)
+            if len(found):
+                yield batch_of(place=signed(found))
 
-    def run(batches):
-        for part, data, offsets in text_slices(batches):
-            sets = token_sets(data, offsets)
-            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "n_shingles", "node"])
+    rows = texts.select("text").mapInArrow(gather, "bucket int, once binary, more binary, times binary")
+    return dealt(rows).mapInArrow(count, "place bigint")
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, node bigint")
 
+# -- sets and what they are indexed by -------------------------------------------------------------------------------
 
-def numbers_in(column: pa.Array) -> list[np.ndarray]:
-    """The rows of a binary column as unsigned 64-bit numbers."""
-    return [np.frombuffer(v.as_buffer(), np.uint64) for v in column]
 
+def prefix(tokens: np.ndarray, often: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(single tokens, keys of combinations) that a set is indexed under; ``often`` tells its tokens of the frequent class."""
+    short = lead(len(tokens), percent)
+    rare = tokens[~often]
+    if len(rare) >= short:
+        return rare[:short], rare[:0]
+    more = tokens[often][: extended(len(tokens), percent) - len(rare)]
+    return rare, np.unique(mixed(more[:-1] * FACTORS[0] + more[1:] * FACTORS[1]))
 
-def class_maps(keys: DataFrame, column: str, bits: int = MAP_BITS, **flags) -> dict[str, np.ndarray]:
-    """For each named condition a map of 2**bits bits, set where a key with the condition falls; ORed together before they reach the driver."""
-    place = F.col(column).bitwiseAND((1 << bits) - 1)
-    bit = F.expr(f"shiftleft(1L, cast({column} & 63 AS int))")
-    words = keys.groupBy(F.shiftright(place, 6).cast("int").alias("word")).agg(*[F.bit_or(F.when(c, bit).otherwise(F.lit(0).cast("long"))).alias(k) for k, c in flags.items()]).toArrow()
-    at, out = words.column("word").to_numpy(), {}
-    for k in flags:
-        out[k] = np.zeros(1 << (bits - 6), np.uint64)
-        out[k][at] = words.column(k).to_numpy().view(np.uint64)
-    return out
 
+DESCRIBED = "row bigint, doc_id bigint, n_shingles bigint, high bigint, low bigint, sketch binary, singles binary, combined binary"
 
-def marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    place = keys & np.uint64(64 * len(bits) - 1)
-    return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
 
+class Describer:
+    """Rows of DESCRIBED; a task describes each set once, and repetitions have only the first five columns."""
+
+    def __init__(self, percent: int):
+        self.percent, self.seen = percent, set()
+
+    def rows(self, row: np.ndarray, doc_id: pa.Array, sets: Sets, often: np.ndarray) -> pa.RecordBatch:
+        marks, found, places_of = [], [], list(zip(sets.bounds[:-1].tolist(), sets.bounds[1:].tolist(), strict=True))
+        for a, z in places_of:
+            own, tokens = identity(sets.tokens[a:z]), sets.tokens[a:z]
+            marks.append(own)
+            if a == z or own in self.seen:
+                found.append((None, None, None))
+                continue
+            self.seen.add(own)
+            single, combined = prefix(tokens, often[a:z], self.percent)
+            found.append((sketch(tokens), single.tobytes(), combined.tobytes() if len(combined) else None))
+        n = np.diff(sets.bounds)
+        names = np.frombuffer(b"".join(marks), np.int64).reshape(-1, 2)
+        parts = [pa.array(x, pa.binary()) for x in zip(*found, strict=True)] if found else [pa.array([], pa.binary())] * 3
+        return batch_of(
+            row=signed(mixed(row.astype(np.uint64))), doc_id=doc_id, n_shingles=n.astype(np.int64), high=pa.array(names[:, 0], mask=n == 0), low=pa.array(names[:, 1], mask=n == 0),
+            sketch=parts[0], singles=parts[1], combined=parts[2],
+        )
 
-def token_classes(docs: DataFrame, frequent: int) -> dict[str, np.ndarray]:
-    """Maps of the tokens that more than one document, and more than ``frequent``, have; every token of every document is counted."""
+
+def numbered(texts: DataFrame) -> DataFrame:
+    return texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+
+
+def column(part: pa.RecordBatch, name: str) -> pa.Array:
+    return part.column(part.schema.get_field_index(name))
+
+
+def described(texts: DataFrame, often: DataFrame, bits: int, percent: int, bound: int) -> DataFrame:
+    """DESCRIBED for each row of ``texts``. Frequent tokens go to every task if there are at most ``bound``."""
+    if often.count() > bound:
+        return described_by_join(texts, often, bits, percent)
+    shared = texts.sparkSession.sparkContext.broadcast(np.sort(often.toArrow().column("place").to_numpy()).astype(np.uint64))
 
     def run(batches):
-        for _, data, offsets in text_slices(batches):
-            token, n = np.unique(np.concatenate(token_sets(data, offsets)) & np.uint64((1 << COUNT_BITS) - 1), return_counts=True)
-            yield pa.RecordBatch.from_arrays([signed(token), pa.array(n.astype(np.int32))], ["token", "n"])
+        known, describer = shared.value, Describer(percent)
+        for part, sets in set_slices(batches):
+            place = places(sets.tokens, bits)
+            at = np.minimum(np.searchsorted(known, place), max(0, len(known) - 1))
+            frequent = known[at] == place if len(known) else np.zeros(len(place), bool)
+            yield describer.rows(column(part, "row").to_numpy(), column(part, "doc_id").cast(pa.int64()), sets, frequent)
 
-    counted = docs.select("text").mapInArrow(run, "token bigint, n int").groupBy("token").agg(F.sum("n").alias("n"))
-    return class_maps(counted.where("n > 1"), "token", shared=F.lit(True), frequent=F.col("n") > frequent)
+    return numbered(texts).mapInArrow(run, DESCRIBED)
 
 
-def candidates(docs: DataFrame, maps, percent: int) -> DataFrame:
-    """node, n_shingles, sketch, tokens of the sets that can link at all.
+def described_by_join(texts: DataFrame, often: DataFrame, bits: int, percent: int) -> DataFrame:
+    """``described`` for a frequent class of any size: a row's tokens meet the class by key and come back to the row."""
 
-    A token that no other document has is missing from every other set. A set with more than 1-t of these has too little
-    in common with any other, whatever that is; most sets end here.
-    """
+    def make(batches):
+        for part, sets in set_slices(batches):
+            yield batch_of(row=column(part, "row"), doc_id=column(part, "doc_id").cast(pa.int64()), tokens=pa.array([s.tobytes() for s in sets], pa.binary()))
+
+    def each(batches):
+        for b in batches:
+            own = [np.unique(places(x, bits)) for x in numbers_in(b.column(1))]
+            yield batch_of(row=np.repeat(b.column(0).to_numpy(), [len(x) for x in own]), place=signed(np.concatenate(own)))
 
     def run(batches):
-        shared, seen = maps.value["shared"], set()
-        for _, data, offsets in text_slices(batches):
-            kept: dict[int, np.ndarray] = {}
-            for s in token_sets(data, offsets):
-                if len(s) and 100 * int(np.count_nonzero(~marked(shared, s))) <= (100 - percent) * len(s) and (own := node_of(s)) not in seen:
-                    seen.add(own)
-                    kept[own] = s
-            if kept:
-                yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.int64()), pa.array([len(s) for s in kept.values()], pa.int64()), *[pa.array([f(s) for s in kept.values()], pa.binary()) for f in (sketch, np.ndarray.tobytes)]], ["node", "n_shingles", "sketch", "tokens"])
+        describer = Describer(percent)
+        for b in batches:
+            tokens, size = numbers_in(b.column(2)), b.column(3).value_lengths().fill_null(0).to_numpy()
+            bounds = np.cumsum([0, *map(len, tokens)])
+            known = np.split(b.column(3).flatten().to_numpy().astype(np.uint64), np.cumsum(size)[:-1])
+            frequent = np.concatenate([np.isin(places(x, bits), k) for x, k in zip(tokens, known, strict=True)])
+            yield describer.rows(b.column(0).to_numpy(), b.column(1), Sets(np.concatenate(tokens), bounds), frequent)
+
+    rows = materialize(numbered(texts).mapInArrow(make, "row bigint, doc_id bigint, tokens binary"), "tokens", "snappy")
+    met = rows.select("row", "tokens").mapInArrow(each, "row bigint, place bigint").join(often, "place")
+    return rows.join(met.groupBy("row").agg(F.collect_list("place").alias("often")), "row", "left").mapInArrow(run, DESCRIBED)
+
 
-    return docs.select("text").mapInArrow(run, "node bigint, n_shingles bigint, sketch binary, tokens binary").dropDuplicates(["node"])
+def size_class(n: np.ndarray) -> np.ndarray:
+    return np.minimum(255, SIZE_STEPS * np.log2(n)).astype(np.uint8)
 
 
-def index(sets: DataFrame, maps, percent: int, pairs: bool) -> DataFrame:
-    """key, node, n_shingles: what each set is found under, by single tokens of the rare class or by pairs of the frequent class."""
+def single_pairs(rows: DataFrame, bits: int, percent: int) -> DataFrame:
+    """a, b: names (``high``) of sets of a fitting size that are indexed under one rare token."""
+    widest = int(SIZE_STEPS * np.log2(100 / percent)) + 1
+
+    def packed(tokens: list[np.ndarray], names: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+        n = [len(x) for x in tokens]
+        place = places(np.concatenate(tokens), bits)
+        order = np.argsort(place)
+        place, name, size = place[order], np.repeat(names, n)[order], np.repeat(size_class(sizes), n)[order]
+        bucket, spans = in_buckets(place, bits)
+        low = place.astype(np.uint32)
+        return batch_of(bucket=bucket, **{k: pa.array([x[a:z].tobytes() for a, z in spans], pa.binary()) for k, x in (("low", low), ("name", name), ("size", size))})
+
+    def gather(batches):
+        held, names, sizes, n = [], [], [], 0
+        for b in batches:
+            for name, size, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), numbers_in(b.column(2)), strict=True):
+                held.append(own), names.append(name), sizes.append(size)
+                n += len(own)
+                if n >= CHUNK:
+                    yield packed(held, np.array(names), np.array(sizes))
+                    held, names, sizes, n = [], [], [], 0
+        if n:
+            yield packed(held, np.array(names), np.array(sizes))
+
+    def meet(batches):
+        for t in grouped(batches):
+            low, name, size = (np.frombuffer(b"".join(t.column(c).to_pylist()), kind) for c, kind in (("low", np.uint32), ("name", np.int64), ("size", np.uint8)))
+            order = np.argsort(low)
+            same = low[order][1:] == low[order][:-1]
+            order = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
+            low, name, size = low[order], name[order], size[order].astype(np.int16)
+            found, step = [], 1
+            while len(at := np.flatnonzero(low[step:] == low[:-step]) if step < len(low) else ()):  # a run has FREQUENT at most
+                near_size = at[(np.abs(size[at + step] - size[at]) <= widest) & (name[at + step] != name[at])]
+                found.append(np.sort(np.stack((name[near_size], name[near_size + step]), 1), 1))
+                step += 1
+            if found and len(pairs := np.unique(np.concatenate(found), axis=0)):
+                yield batch_of(a=pairs[:, 0], b=pairs[:, 1])
+
+    some = rows.where(F.col("singles").isNotNull()).select("high", "n_shingles", "singles")
+    return dealt(some.mapInArrow(gather, "bucket int, low binary, name binary, size binary")).mapInArrow(meet, "a bigint, b bigint").distinct()
+
+
+def combined_keys(sets: DataFrame) -> DataFrame:
+    """key, node, n_shingles of the sets that are indexed under combinations."""
 
     def run(batches):
-        m = maps.value
         for b in batches:
-            keys, node, size = [], b.column(0).to_numpy(), b.column(1).to_numpy()
-            for n, tokens in zip(size.tolist(), numbers_in(b.column(2)), strict=True):
-                found = tokens[: extended(n, percent)]
-                often = marked(m["frequent"], found)
-                short = lead(n, percent)
-                if not often[:short].any():
-                    found, often = found[:short], often[:short]
-                if pairs:
-                    both = np.flatnonzero(often[1:] & often[:-1])
-                    keys.append(mixed(found[both] * FACTORS[0] + found[both + 1] * FACTORS[1]))
-                else:
-                    rare = found[~often]
-                    keys.append(rare[marked(m["shared"], rare)])
+            keys = numbers_in(b.column(2))
             n = [len(k) for k in keys]
-            if sum(n):
-                yield pa.RecordBatch.from_arrays([signed(np.concatenate(keys)), pa.array(np.repeat(node, n)), pa.array(np.repeat(size, n))], ["key", "node", "n_shingles"])
+            yield batch_of(key=signed(np.concatenate(keys)), node=np.repeat(b.column(0).to_numpy(), n), n_shingles=np.repeat(b.column(1).to_numpy(), n))
 
-    return sets.select("node", "n_shingles", "tokens").mapInArrow(run, "key bigint, node bigint, n_shingles bigint")
+    return sets.where(F.col("combined").isNotNull()).select("node", "n_shingles", "combined").mapInArrow(run, "key bigint, node bigint, n_shingles bigint")
 
 
-def rare_pairs(singles: DataFrame, percent: int) -> DataFrame:
-    """a, b: nodes of a fitting size under one key of the rare class, which at most FREQUENT documents have."""
-    under = singles.groupBy("key").agg(F.collect_set(F.struct("node", "n_shingles")).alias("xs")).where(F.size("xs") > 1)
-    fits = f"100 * least(x.n_shingles, y.n_shingles) >= {percent} * greatest(x.n_shingles, y.n_shingles)"
-    pair = "struct(least(x.node, y.node) AS a, greatest(x.node, y.node) AS b)"
-    made = f"flatten(transform(xs, (x, i) -> transform(filter(slice(xs, i + 2, size(xs)), y -> {fits}), y -> {pair})))"
-    return under.select(F.explode(F.expr(made)).alias("p")).select("p.a", "p.b").distinct()
+def full_sets(texts: DataFrame, wanted: DataFrame, bound: int) -> DataFrame:
+    """node, tokens of the sets ``wanted`` (node, high, low, doc_id), made again from the documents they come from."""
 
+    def run(batches):
+        seen = set()
+        for _, sets in set_slices(batches):
+            made = {own: s for s in sets if len(s) and (own := identity(s)) not in seen}
+            seen |= set(made)
+            names = np.frombuffer(b"".join(made), np.int64).reshape(-1, 2)
+            yield batch_of(high=names[:, 0], low=names[:, 1], tokens=pa.array([s.tobytes() for s in made.values()], pa.binary()))
+
+    ids = wanted.select("doc_id").distinct()
+    some = texts.join(F.broadcast(ids) if ids.count() <= bound else ids, texts.doc_id.eqNullSafe(ids.doc_id), "left_semi")
+    return some.select("text").mapInArrow(run, "high bigint, low bigint, tokens binary").join(wanted.select("node", "high", "low"), ["high", "low"]).select("node", "tokens")
+
+
+# -- comparing -------------------------------------------------------------------------------------------------------
 
-def near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs a, b that sizes and sketches don't rule out."""
-    x, y = (sets.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
+
+def near(pairs: DataFrame, sets: DataFrame, percent: int, name: str = "node") -> DataFrame:
+    """a, b: nodes of the pairs of ``name`` that sizes and sketches don't rule out."""
+    x, y = (sets.select(F.col(name).alias(c), F.col("node").alias(f"node_{c}"), F.col("n_shingles").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
     fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    both = pairs.join(x, "a").join(y, "b").where(fits)
+    both = pairs.join(x, "a").join(y, "b").where(fits & (F.col("node_a") != F.col("node_b")))
 
     def run(batches):
         for batch in batches:
-            rows = zip(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("na", "nb", "sa", "sb")], strict=True)
+            rows = zip(*[column(batch, c).to_pylist() for c in ("na", "nb", "sa", "sb")], strict=True)
             keep = [(100 + percent) * sketch_distance(sa, sb) <= (100 - percent) * (na + nb) for na, nb, sa, sb in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in ("a", "b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch_of(a=column(batch, "node_a"), b=column(batch, "node_b")).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
+    return both.select("node_a", "node_b", "na", "nb", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
 @dataclass(frozen=True)
@@ -295,33 +395,24 @@ def near_across(rows: DataFrame, sets: DataFrame, percent: int, block: int = BLO
     heads = rows.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("key")), 1, HEAD).alias("head"))  # of a document's own keys
     known = materialize(heads.join(sets.select("node", "sketch"), "node"), "heads")
     full = met.join(known, "node").select("key", "x", "y", "node", "n_shingles", "comp", "block", "sketch", "head")
-    dealt = full.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    groups = full.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
 
     def run(batches):
-        rest = None
-        for b in chain(batches, [None]):
-            t = b if rest is None else rest if b is None else pa.Table.from_batches([rest, b]).combine_chunks().to_batches()[0]
-            if t is None or not t.num_rows:
+        for t in grouped(batches, 3):
+            if t.num_rows < 2:
                 continue
-            key = np.stack([t.column(i).to_numpy().astype(np.int64) for i in range(3)], 1)
-            starts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(1))))
-            whole = t.num_rows if b is None else int(starts[-1])  # the last group may go on in the next batch
-            rest = None if b is None else t.slice(whole)
-            found = []
-            node, size, comp, own = (t.column(i).to_numpy() for i in range(3, 7))
-            sketches, lists = t.column(7), t.column(8)
+            key, x, y = (t.column(c)[0].as_py() for c in ("key", "x", "y"))
+            lists = t.column("head").combine_chunks()
             width = lists.value_lengths().to_numpy()
             heads = np.full((t.num_rows, HEAD), NO_KEY)
             heads[np.repeat(np.arange(t.num_rows), width), ragged(np.zeros(t.num_rows, np.int64), width)] = lists.flatten().to_numpy()
-            for i, j in zip(starts.tolist(), [*starts[1:].tolist(), t.num_rows], strict=True):
-                if j <= whole and j - i > 1:
-                    here = Group(int(key[i, 0]), (int(key[i, 1]), int(key[i, 2])), node[i:j], size[i:j], comp[i:j], own[i:j], sketches.slice(i, j - i).to_pylist(), heads[i:j])
-                    found += here.near(percent)
+            node, size, comp, own = (t.column(c).to_numpy() for c in ("node", "n_shingles", "comp", "block"))
+            found = Group(key, (x, y), node, size, comp, own, t.column("sketch").to_pylist(), heads).near(percent)
             if found:
                 pairs = np.unique(np.stack([np.concatenate(x) for x in zip(*found, strict=True)], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+                yield batch_of(a=pairs[:, 0], b=pairs[:, 1])
 
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+    return groups.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -332,26 +423,37 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(*[batch.column(batch.schema.get_field_index(c)) for c in ("ta", "tb")], strict=True):
+            for x, y in zip(column(batch, "ta"), column(batch, "tb"), strict=True):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in ("a", "b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch_of(a=column(batch, "a"), b=column(batch, "b")).filter(pa.array(keep, pa.bool_()))
 
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
-def join(docs: DataFrame, percent: int = PERCENT, frequent: int = FREQUENT, rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
+def join(docs: DataFrame, percent: int = PERCENT, frequent: int = FREQUENT, rounds: int = ROUNDS, block: int = BLOCK, class_bound: int = CLASS_BOUND, lookup_bound: int = LOOKUP_BOUND) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``; ``percent`` is the least similarity, 75 at least."""
     if not 75 <= percent <= 100:
         raise ValueError("percent must be between 75 and 100")
-    own = materialize(nodes(docs), "nodes")
-    maps = docs.sparkSession.sparkContext.broadcast(token_classes(docs, frequent))
-    sets = materialize(candidates(docs, maps, percent), "sets", "snappy")
-    few = rare_pairs(index(sets, maps, percent, pairs=False), percent)
-    links = materialize(verified(materialize(near(few, sets, percent), "near"), sets, percent), "links")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    bits = bucket_bits(texts)
+    often = materialize(frequent_tokens(texts, bits, frequent), "frequent-tokens")
+    every = materialize(described(texts, often, bits, percent, class_bound), "described")
+    # A node is the first of the rows that have its set described.
+    firsts = every.groupBy("high", "low").agg(F.min(F.when(F.col("sketch").isNotNull(), F.col("row"))).alias("node")).where("high is not null")
+    firsts = materialize(firsts, "nodes")
+    sets = every.where("sketch is not null").drop("singles").join(firsts.select(F.col("node").alias("row")), "row", "left_semi")
+    sets = materialize(sets.withColumnRenamed("row", "node"), "sets")
+    few = materialize(near(single_pairs(every, bits, percent), sets, percent, "high"), "near")
+    combined = combined_keys(sets)
+    shared = combined.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    combined = materialize(combined.join(shared, "key", "left_semi"), "combined")
+    needed = few.select(F.col("a").alias("node")).unionAll(few.select("b")).unionAll(combined.select("node")).distinct()
+    wanted = materialize(sets.select("node", "high", "low", "doc_id").join(needed, "node", "left_semi"), "wanted")
+    full = materialize(full_sets(texts, wanted, lookup_bound), "full-sets", "snappy")
+    links = materialize(verified(few, full, percent), "links")
     comps = components(links)
-    combined = materialize(index(sets, maps, percent, pairs=True), "combined")
     for turn in range(rounds + 1):
         # Under the combined keys, only pairs of nodes from different components are still of interest.
         rows = materialize(combined.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "labelled")
@@ -360,36 +462,31 @@ def join(docs: DataFrame, percent: int = PERCENT, frequent: int = FREQUENT, roun
         if several.isEmpty():
             break
         still = materialize(rows.join(several, "key"), "open")
-        if turn < rounds:  # one leader of each key, another each time
+        if turn < rounds:  # one leader of each key, another each time; its set is shipped to the others'
             leaders = still.where(F.xxhash64("node", F.lit(turn)) == F.col("first")).select("key", F.col("node").alias("leader"), F.col("comp").alias("led"))
             met = still.join(materialize(leaders, "leaders"), "key").where("comp <> led")
-            found = near(met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), sets, percent)
+            found = near(met.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), sets, percent)
         else:  # all that is left
             found = near_across(still.drop("first"), sets, percent, block)
-        more = materialize(verified(materialize(found, "near"), sets, percent), "links")
+        more = materialize(verified(materialize(found, "near"), full, percent), "links")
         links = materialize(links.unionAll(more), "links")
         comps = components(links)
-    final = comps
-    # Documents: the least id of each node, then of each component.
-    ids = own.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    of_node = materialize(ids.join(final, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "node-components")
-    least = materialize(of_node.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "component-names")
-    named = materialize(of_node.join(least, "comp").select("node", "component_id"), "node-names")
-    out = own.join(named, "node", "left")
+    # Documents: the least id of each component.
+    own = every.select("doc_id", "n_shingles", "high", "low").join(firsts, ["high", "low"], "left").join(comps, "node", "left")
+    placed = materialize(own.select("doc_id", "n_shingles", F.coalesce("comp", "node").alias("comp")), "node-components")
+    least = materialize(placed.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id")), "component-names")
+    out = placed.join(least, "comp", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def representatives(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` without those that link, over others, to a row with a smaller doc_id (null: largest; ties: the first row).
-
-    Rows are told apart by their place in the scan of ``docs``, which must be a table that is read the same way each time.
-    """
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    ids = materialize(numbered.select("_row", "doc_id"), "rows")
-    found = join(numbered.select(F.col("_row").alias("doc_id"), "text"), percent).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("comp"))
-    placed = materialize(found.join(ids, "_row"), "row-components")
-    first = placed.groupBy("comp").agg(F.min(F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("first"))
-    tied = placed.join(materialize(first, "firsts"), "comp").where(F.coalesce("doc_id", F.lit((1 << 63) - 1)) == F.col("first"))
+    """The rows of ``docs`` without those that link, over others, to a row with a smaller doc_id (null: largest; ties: any one row)."""
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")  # numbered once: a second scan might be dealt otherwise
+    found = join(rows.select(F.col("_row").alias("doc_id"), "text"), percent).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("comp"))
+    placed = materialize(found.join(rows.select("_row", "doc_id"), "_row"), "row-components")
+    first = F.coalesce("doc_id", F.lit((1 << 63) - 1))
+    firsts = placed.groupBy("comp").agg(F.min(first).alias("first"))
+    tied = placed.join(materialize(firsts, "firsts"), "comp").where(first == F.col("first"))
     best = tied.groupBy("comp").agg(F.min("_row").alias("_row"))
     lost = materialize(placed.select("_row").join(best.select("_row"), "_row", "left_anti"), "lost-rows")
-    return numbered.join(lost, "_row", "left_anti").select(*docs.columns)
+    return rows.join(lost, "_row", "left_anti").select(*docs.columns)

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from statefold.llm import n_gram_join as J
+from statefold.llm import shingles as S
 from statefold.llm.components import components
 
 LOW = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
@@ -53,8 +54,8 @@ def corpus(seed):
     return out
 
 
-@pytest.mark.parametrize("seed,frequent,rounds", [(1, 32, 3), (2, 4, 1), (3, 1, 0)])
-def test_components_equal_brute_force(spark, seed, frequent, rounds):
+@pytest.mark.parametrize("seed,frequent,rounds,bound", [(1, 32, 3, 1 << 20), (2, 4, 1, 1 << 20), (3, 1, 0, 1 << 20), (4, 3, 1, 0), (5, 0, 0, 0)])
+def test_components_equal_brute_force(spark, seed, frequent, rounds, bound):
     made = corpus(seed)
     docs = spark.createDataFrame(list(enumerate(made)), "doc_id bigint, text string")
     sets = [shingles(t) for t in made]
@@ -62,7 +63,7 @@ def test_components_equal_brute_force(spark, seed, frequent, rounds):
     least = {}
     for i, r in enumerate(roots):
         least.setdefault(r, i)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.join(docs, frequent=frequent, rounds=rounds, block=8).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.join(docs, frequent=frequent, rounds=rounds, block=8, class_bound=bound, lookup_bound=bound).collect()}
     assert got == {i: (len(s), least[roots[i]]) for i, s in enumerate(sets)}
 
 
@@ -96,8 +97,8 @@ def test_sketches_bound_the_difference_from_below():
         a = np.unique(rng.integers(0, 2**63, n, np.uint64))
         b = np.unique(np.concatenate((a[: n // 2], rng.integers(0, 2**63, n, np.uint64))))
         both = len(np.intersect1d(a, b))
-        d = J.sketch_distance(J.sketch(a), J.sketch(b))
-        assert d <= len(a) + len(b) - 2 * both and J.sketch_distance(J.sketch(a), J.sketch(a)) == 0
+        d = S.sketch_distance(S.sketch(a), S.sketch(b))
+        assert d <= len(a) + len(b) - 2 * both and S.sketch_distance(S.sketch(a), S.sketch(a)) == 0
 
 
 def test_components_of_a_long_chain(spark):
