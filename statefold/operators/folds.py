@@ -23,11 +23,11 @@ def fold_value(log: DataFrame, keys: list[str] = K) -> DataFrame:
 
 
 def list_rows(log: DataFrame, keys: list[str] = K) -> DataFrame:
-    """keys, seq, value of the writes that a list consists of: since the last PUT or DELETE, with that PUT."""
+    """The writes that a list consists of: since the last PUT or DELETE, with that PUT."""
     resets = log.where(F.col("op").isin(PUT, DELETE)).groupBy(*keys).agg(F.max("seq").alias("_reset"))
     kept = log.where(F.col("op").isin(PUT, APPEND)).join(resets, keys, "left")
     # A PUT has the seq of its reset only if it is the last one, a DELETE is no longer here.
-    return kept.where(F.col("_reset").isNull() | (F.col("seq") >= F.col("_reset"))).drop("_reset", "op")
+    return kept.where(F.col("_reset").isNull() | (F.col("seq") >= F.col("_reset"))).drop("_reset")
 
 
 def positions(rows: DataFrame, keys: list[str], seq: str = "seq", within: list[str] | None = None, bucket: int = BUCKET) -> DataFrame:
@@ -44,17 +44,17 @@ def positions(rows: DataFrame, keys: list[str], seq: str = "seq", within: list[s
 
 def fold_list(log: DataFrame, keys: list[str] = K) -> DataFrame:
     """keys, pos, e, seq: each list's elements, oldest first. A value that is an array is several elements of one write."""
-    rows = list_rows(log, keys)
+    rows = list_rows(log, keys).drop("op")
     if dict(log.dtypes)["value"].startswith("array"):
         rows = rows.select("*", F.posexplode("value").alias("_i", "e")).drop("value")
         return positions(rows, keys, within=["_i"]).drop("_i")
     return positions(rows.withColumnRenamed("value", "e"), keys)
 
 
-def fold_map(log: DataFrame, keys: list[str] = K) -> DataFrame:
-    """keys, uk, uv, seq: the last write of each entry, unless it is a DELETE or older than the key's last CLEAR."""
+def fold_map(log: DataFrame, keys: list[str] = K, carry: tuple[str, ...] = ()) -> DataFrame:
+    """keys, uk, uv, seq: the last write of each entry, unless it is a DELETE or older than the key's last CLEAR; ``carry`` are more columns of that write."""
     entries = log.where(F.col("op").isin(PUT, DELETE) & F.col("uk").isNotNull())
-    last = entries.groupBy(*keys, "uk").agg(F.max_by(F.col("op") == PUT, "seq").alias("_live"), F.max_by("value", "seq").alias("uv"), F.max("seq").alias("seq")).where("_live")
+    last = entries.groupBy(*keys, "uk").agg(F.max_by(F.col("op") == PUT, "seq").alias("_live"), F.max_by("value", "seq").alias("uv"), F.max("seq").alias("seq"), *[F.max_by(c, "seq").alias(c) for c in carry]).where("_live")
     clears = log.where(F.col("op") == CLEAR).groupBy(*keys).agg(F.max("seq").alias("_clear"))
     return last.join(clears, keys, "left").where(F.col("_clear").isNull() | (F.col("seq") > F.col("_clear"))).drop("_live", "_clear")
 

@@ -12,11 +12,6 @@ from statefold.sources.changelog import CLEAR, DELETE, PUT
 # -- expiry: ``now`` is always given, in milliseconds ----------------------------------------------------------------
 
 
-def with_times(state: DataFrame, log: DataFrame) -> DataFrame:
-    """State with ts, the time of the write that each row comes from."""
-    return state.join(log.select("seq", "ts"), "seq")
-
-
 def unexpired(rows: DataFrame, ttl: int, now: Column, ts: str = "ts") -> DataFrame:
     return rows.where(live(millis(F.col(ts)), ttl, now))
 
@@ -30,7 +25,7 @@ def value_with_ttl(log: DataFrame, ttl: int, now: Column, keys: list[str] | None
 
 def map_with_ttl(log: DataFrame, ttl: int, now: Column) -> DataFrame:
     """Entries by the time of their own last write."""
-    return unexpired(with_times(fold_map(log), log), ttl, now)
+    return unexpired(fold_map(log, carry=("ts",)), ttl, now)
 
 
 def list_with_ttl(log: DataFrame, ttl: int, now: Column, whole: bool = False, keys: list[str] | None = None) -> DataFrame:
@@ -43,7 +38,15 @@ def list_with_ttl(log: DataFrame, ttl: int, now: Column, whole: bool = False, ke
     return unexpired(rows.join(newest, keys), ttl, now, "_newest").drop("_newest")
 
 
-# -- compaction ------------------------------------------------------------------------------------------------------
+def list_from_first_live(log: DataFrame, ttl: int, now: Column, keys: list[str] | None = None) -> DataFrame:
+    """Each list from its first element that is not expired on: a scan that stops at it, as later elements are newer."""
+    keys = keys or ["k"]
+    rows = fold_list(log, keys)
+    first = unexpired(rows, ttl, now).groupBy(*keys).agg(F.min("pos").alias("_first"))
+    return rows.join(first, keys).where(F.col("pos") >= F.col("_first")).drop("_first")
+
+
+# -- rewriting a log as the writes that still count ------------------------------------------------------------------------------------------------------
 
 
 def compact_values(log: DataFrame, major: bool, keys: list[str] | None = None) -> DataFrame:
@@ -68,7 +71,7 @@ def compact_maps(log: DataFrame, major: bool, keys: list[str] | None = None) ->
 def compact_lists(log: DataFrame, major: bool, keys: list[str] | None = None) -> DataFrame:
     """The writes that each list still consists of; a minor compaction keeps the last DELETE that nothing has replaced."""
     keys = keys or ["k"]
-    kept = list_rows(log, keys).join(log.select("seq", "op"), "seq")
+    kept = list_rows(log, keys)
     if major:
         return kept
     resets = log.where(F.col("op").isin(PUT, DELETE)).groupBy(*keys).agg(F.max_by("op", "seq").alias("op"), F.max("seq").alias("seq"))

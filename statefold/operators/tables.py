@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from statefold.sources.changelog import PUT
+
 # -- any state, by a frame of keys ---------------------------------------------------------------------------------
 
 
@@ -80,6 +82,20 @@ def update_list(current: DataFrame, new: DataFrame, keys: list[str]) -> DataFram
     return kept.unionByName(given.select(*keys, F.posexplode("es").alias("pos", "e")).withColumn("pos", F.col("pos").cast("long")))
 
 
+def put_lists(rows: DataFrame) -> DataFrame:
+    """Whole lists (k, value, seq; value an array) as writes: a null or empty list does nothing, a null element fails."""
+    some = rows.where(F.col("value").isNotNull() & (F.size("value") > 0))
+    fine = F.when(F.exists("value", lambda e: e.isNull()), F.raise_error(F.lit("a list put at once must not hold nulls")).cast("boolean")).otherwise(True)
+    return some.where(fine).withColumn("op", F.lit(PUT))
+
+
+def lists_or_default(lists: DataFrame, keys: DataFrame, on: list[str], default: list) -> DataFrame:
+    """The asked keys' lists, or the default's elements where a key has none."""
+    asked = keys.select(*on).dropna().distinct()
+    none = asked.join(lists.select(*on), on, "left_anti").select(*on, F.posexplode(F.array(*map(F.lit, default))).alias("pos", "e"))
+    return lists.select(*on, "pos", "e").join(asked, on, "left_semi").unionByName(none.withColumn("pos", F.col("pos").cast("long")))
+
+
 # -- maps -----------------------------------------------------------------------------------------------------------
 
 
@@ -99,6 +115,11 @@ def put_entries(spark_rows: DataFrame) -> DataFrame:
     return spark_rows.where(F.col("uk").isNotNull() & F.col("value").isNotNull())
 
 
+def entries_of_maps(rows: DataFrame, keys: list[str], column: str = "m") -> DataFrame:
+    """Whole maps (keys, ``column``) as PUT rows (keys, uk, value, op), without null user keys and values."""
+    return put_entries(rows.select(*keys, F.explode(column).alias("uk", "value")).withColumn("op", F.lit(PUT)))
+
+
 def replace_map(*_args, **_kwargs):
     """Putting a whole map at once is not offered; write a CLEAR and PUTs."""
     raise NotImplementedError("put of a whole map; write a CLEAR row and PUT rows")

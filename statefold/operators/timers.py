@@ -32,5 +32,5 @@ def poll(timers: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def ordered(timers: DataFrame) -> DataFrame:
-    """Sorted within each key group; groups are not ordered among each other across partitions."""
-    return timers.repartition("key_group").sortWithinPartitions("key_group", *ORDER)
+    """In the order of key groups and, within them, of timers; a group may be several partitions."""
+    return timers.repartitionByRange("key_group", *ORDER).sortWithinPartitions("key_group", *ORDER)

@@ -199,6 +199,39 @@ def list_bulk_get(spark, sf_dir):
     return tables.get_all(lists(spark, sf_dir), keys, ["k"]).select("k", "pos", "e")
 
 
+@query("SELECT o_custkey AS k, CAST(i AS BIGINT) AS pos, CASE i WHEN 0 THEN a ELSE b END AS e FROM (SELECT o_custkey, arg_max(o_orderpriority, o_orderkey) AS a, arg_max(o_orderstatus, o_orderkey) AS b, unnest([0, 1]) AS i FROM orders WHERE o_orderstatus NOT IN ('F', 'P') GROUP BY o_custkey)")
+def list_put_all_rules(spark, sf_dir):
+    """Putting a null or an empty list does nothing; any other replaces the list."""
+    o = table(spark, sf_dir, "orders")
+    es = F.when(F.col("o_orderstatus") == "F", F.array().cast("array<string>")).when(F.col("o_orderstatus") != "P", F.array("o_orderpriority", "o_orderstatus"))
+    return folds.fold_list(tables.put_lists(o.select(F.col("o_custkey").alias("k"), es.alias("value"), F.col("o_orderkey").alias("seq")))).select("k", "pos", "e")
+
+
+@query(f"WITH {LISTS} SELECT k, pos, e FROM lists WHERE k NOT IN (SELECT s_suppkey FROM supplier) UNION ALL SELECT s_suppkey, 0, s_acctbal FROM supplier")
+def list_bulk_put(spark, sf_dir):
+    base = events_log(spark, sf_dir, LIST_VERBS).select("k", "op", "value", "seq")
+    puts = with_verb(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("value")), PUT)
+    return folds.fold_list(base.unionByName(after(base, puts, ["k"]).select(*base.columns))).select("k", "pos", "e")
+
+
+@query(f"WITH {LISTS}, s AS (SELECT DISTINCT s_suppkey FROM supplier) SELECT k, pos, e FROM lists UNION ALL SELECT s_suppkey, (SELECT count(*) FROM lists WHERE k = s_suppkey), s_acctbal FROM supplier")
+def list_bulk_add(spark, sf_dir):
+    base = events_log(spark, sf_dir, LIST_VERBS).select("k", "op", "value", "seq")
+    adds = with_verb(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("value")), APPEND)
+    return folds.fold_list(base.unionByName(after(base, adds, ["k"]).select(*base.columns))).select("k", "pos", "e")
+
+
+@query(f"WITH {LISTS} SELECT k, pos, e FROM lists WHERE k NOT IN (SELECT s_suppkey FROM supplier)")
+def list_bulk_remove(spark, sf_dir):
+    keys = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
+    return tables.remove_all(lists(spark, sf_dir), keys, ["k"]).select("k", "pos", "e")
+
+
+@query(f"WITH {LISTS} SELECT k, pos, e FROM lists WHERE k IN (SELECT c_custkey FROM customer) UNION ALL SELECT c_custkey, 0, -1.0 FROM customer WHERE c_custkey NOT IN (SELECT k FROM lists)")
+def list_get_or_default(spark, sf_dir):
+    return tables.lists_or_default(lists(spark, sf_dir), customers(spark, sf_dir), ["k"], [-1.0])
+
+
 # -- map state -------------------------------------------------------------------------------------------------------
 
 
@@ -226,19 +259,19 @@ def map_clear_then_put(spark, sf_dir):
     return maps(spark, sf_dir).select("k", "uk", "uv")
 
 
-@query(f"WITH {MAPS} SELECT k, uk, uv FROM maps WHERE k % 2 = 0")
+@query(f"WITH {MAPS} SELECT k, uk, uv FROM maps")
 def map_entries(spark, sf_dir):
-    return maps(spark, sf_dir).where("k % 2 = 0").select("k", "uk", "uv")
+    return maps(spark, sf_dir).select("k", "uk", "uv")
 
 
 @query(f"WITH {MAPS} SELECT k, uk FROM maps")
 def map_keys(spark, sf_dir):
-    return tables.whole_maps(maps(spark, sf_dir), ["k"]).select("k", F.explode(F.map_keys("m")).alias("uk"))
+    return maps(spark, sf_dir).select("k", "uk")
 
 
 @query(f"WITH {MAPS} SELECT k, uv FROM maps")
 def map_values(spark, sf_dir):
-    return tables.whole_maps(maps(spark, sf_dir), ["k"]).select("k", F.explode(F.map_values("m")).alias("uv"))
+    return maps(spark, sf_dir).select("k", "uv")
 
 
 @query(f"WITH {MAPS} SELECT c_custkey AS k, c_custkey NOT IN (SELECT k FROM maps) AS empty FROM customer")
@@ -264,6 +297,21 @@ def map_bulk_remove(spark, sf_dir):
     return tables.remove_all(maps(spark, sf_dir), keys, ["k"]).select("k", "uk", "uv")
 
 
+@query(f"WITH {MAPS} SELECT k, uk, uv FROM maps WHERE NOT (uk IN ('click', 'view') AND k IN (SELECT s_suppkey FROM supplier))")
+def map_bulk_remove_entries(spark, sf_dir):
+    asked = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.explode(F.array(F.lit("click"), F.lit("view"))).alias("uk"))
+    return tables.remove_all(maps(spark, sf_dir), asked, ["k", "uk"]).select("k", "uk", "uv")
+
+
+@query(f"WITH {MAPS}, p AS (SELECT s_suppkey AS k, unnest(['view', 'new']) AS uk, s_acctbal AS uv FROM supplier) SELECT k, uk, uv FROM p UNION ALL SELECT k, uk, uv FROM maps WHERE NOT (uk IN ('view', 'new') AND k IN (SELECT s_suppkey FROM supplier))")
+def map_bulk_put(spark, sf_dir):
+    """Whole maps as writes; null user keys and values do nothing."""
+    base = events_log(spark, sf_dir, MAP_VERBS).select("k", "uk", "op", "value", "seq")
+    made = F.create_map(F.lit("view"), F.col("s_acctbal"), F.lit("new"), F.col("s_acctbal"), F.lit("none"), F.lit(None).cast("double"))
+    puts = tables.entries_of_maps(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), made.alias("m")), ["k"])
+    return folds.fold_map(base.unionByName(after(base, puts, ["k", "uk"]).select(*base.columns))).select("k", "uk", "uv")
+
+
 @query(f"WITH {MAPS} SELECT c_custkey AS k, 'signup' AS uk, coalesce(uv, 0.0) AS uv FROM customer LEFT JOIN (SELECT * FROM maps WHERE uk = 'signup') m ON c_custkey = m.k")
 def map_get_or_default(spark, sf_dir):
     asked = customers(spark, sf_dir).withColumn("uk", F.lit("signup"))
@@ -319,17 +367,22 @@ def ns_map_by_day(spark, sf_dir):
 def ns_get_and_remove(spark, sf_dir):
     rows = events_log(spark, sf_dir, VALUE_VERBS)
     state = folds.fold_value(rows, ["k", "ns"]).select("k", "ns", "value")
-    newest = rows.agg(F.max("ns")).first()[0]
-    taken, left = tables.take(state, F.col("ns") >= newest)
+    taken, left = tables.take(state, F.col("ns") >= rows.agg(F.max("ns")).scalar())
     return taken.withColumn("taken", F.lit(True)).unionByName(left.withColumn("taken", F.lit(False)))
 
 
 @query(f"WITH {EVENTS}, nv AS (SELECT k, ns, arg_max(value, seq) AS value FROM ev GROUP BY k, ns HAVING arg_max(vop, seq) <> 'DELETE') SELECT k, ns, value FROM nv WHERE k = (SELECT min(k) FROM ev)")
 def ns_get_all_of_key(spark, sf_dir):
     rows = events_log(spark, sf_dir, VALUE_VERBS)
-    least = rows.agg(F.min("k")).first()[0]
-    state = folds.fold_value(rows.where(F.col("k") == least), ["k", "ns"])
-    return namespaces.by_namespace(state).select("k", F.explode("m").alias("ns", "value"))
+    state = folds.fold_value(rows.where(F.col("k") == rows.agg(F.min("k")).scalar()), ["k", "ns"])
+    return state.select("k", "ns", "value")
+
+
+@query(f"WITH {EVENTS}, nv AS (SELECT k, ns, arg_max(value, seq) AS value FROM ev GROUP BY k, ns HAVING arg_max(vop, seq) <> 'DELETE') SELECT k, ns, value FROM nv WHERE k NOT IN (SELECT s_suppkey FROM supplier)")
+def ns_remove_all_of_key(spark, sf_dir):
+    """All namespaces of the removed keys go."""
+    keys = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
+    return tables.remove_all(folds.fold_value(events_log(spark, sf_dir, VALUE_VERBS), ["k", "ns"]), keys, ["k"]).select("k", "ns", "value")
 
 
 WEEK = "strftime(date_trunc('week', CAST(ns AS DATE)), '%Y-%m-%d')"
@@ -393,7 +446,7 @@ def timers_dedup(spark, sf_dir):
 @query(f"WITH {TIMERS} SELECT key_group, ts, k, ns FROM timers WHERE ts <= (SELECT min(ts) + 240 FROM tl)")
 def timers_due(spark, sf_dir):
     rows = timer_rows(spark, sf_dir)
-    return timers.due(folds.fold_timers(rows), F.lit(rows.agg(F.min("ts")).first()[0] + 240))
+    return timers.due(folds.fold_timers(rows), rows.agg(F.min("ts") + 240).scalar())
 
 
 @query(f"WITH {TIMERS}, r AS (SELECT *, row_number() OVER (PARTITION BY key_group ORDER BY ts, k, ns) AS rn FROM timers) SELECT key_group, ts, k, ns FROM r WHERE rn = 1")
@@ -414,4 +467,4 @@ def timers_removed(spark, sf_dir):
 
 @query(f"WITH {TIMERS} SELECT key_group, count(*) AS n FROM timers GROUP BY key_group")
 def timers_size(spark, sf_dir):
-    return timers.ordered(live_timers(spark, sf_dir)).groupBy("key_group").agg(F.count("*").alias("n"))
+    return live_timers(spark, sf_dir).groupBy("key_group").agg(F.count("*").alias("n"))

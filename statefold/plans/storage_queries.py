@@ -34,7 +34,7 @@ DAY_VALUES = f"{EVENTS}, nv AS (SELECT k, ns, arg_max(value, seq) AS value FROM
 @query(f"WITH {DAY_VALUES} SELECT DISTINCT k FROM nv WHERE ns = (SELECT min(ns) FROM ev)")
 def keys_of_namespace(spark, sf_dir):
     rows = events_log(spark, sf_dir, VALUE_VERBS)
-    return tables.keys_of_namespace(folds.fold_value(rows, ["k", "ns"]), rows.agg(F.min("ns")).first()[0])
+    return tables.keys_of_namespace(folds.fold_value(rows, ["k", "ns"]), rows.agg(F.min("ns")).scalar())
 
 
 @query(f"WITH {DAY_VALUES} SELECT DISTINCT k, ns FROM nv")
@@ -65,8 +65,7 @@ def full_scan_list(spark, sf_dir):
 @query(f"WITH {MAPS} SELECT uk FROM maps WHERE k = (SELECT min(k) FROM ev)")
 def sub_key_scan(spark, sf_dir):
     rows = events_log(spark, sf_dir, MAP_VERBS)
-    least = rows.agg(F.min("k")).first()[0]
-    return folds.fold_map(rows.where(F.col("k") == least)).select("uk")
+    return folds.fold_map(rows.where(F.col("k") == rows.agg(F.min("k")).scalar())).select("uk")
 
 
 @query("SELECT trim(w) AS word, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS w FROM conversations) WHERE w <> '' GROUP BY 1")
@@ -82,8 +81,7 @@ NOW = "(SELECT (min(epoch_us(ts)) // 1000) + 864000000 FROM events)"
 
 
 def now(spark, sf_dir):
-    first = table(spark, sf_dir, "events").agg(F.min("ts").alias("t")).select(F.unix_millis(F.col("t").cast("timestamp")).alias("ms")).first()["ms"]
-    return F.lit(first + 864_000_000)
+    return table(spark, sf_dir, "events").agg(F.unix_millis(F.min("ts").cast("timestamp")) + 864_000_000).scalar()
 
 
 def live_sql(us: str = "ts") -> str:
@@ -110,6 +108,11 @@ def ttl_list_whole(spark, sf_dir):
     return maintenance.list_with_ttl(events_log(spark, sf_dir, LIST_VERBS), TTL, now(spark, sf_dir), whole=True).select("k", "pos", "e")
 
 
+@query(f"WITH {LISTS}, f AS (SELECT k, min(pos) AS f FROM lists WHERE {live_sql()} GROUP BY k) SELECT k, pos, e FROM lists JOIN f USING (k) WHERE pos >= f")
+def ttl_list_from_first(spark, sf_dir):
+    return maintenance.list_from_first_live(events_log(spark, sf_dir, LIST_VERBS), TTL, now(spark, sf_dir)).select("k", "pos", "e")
+
+
 @query("SELECT * FROM (VALUES ('after', true), ('never', true)) AS t(k, alive)")
 def ttl_boundary(spark, sf_dir):
     """A row written ttl before now is expired, one millisecond later it is not; without a ttl nothing is."""
@@ -183,15 +186,38 @@ def savepoint_restore(spark, sf_dir):
     return snapshots.restore(spark, root, ["1"], "k bigint, value double, seq bigint")[0].select("k", "value")
 
 
-@query(f"WITH {EVENTS}, more AS (SELECT k, vop, value, seq FROM ev UNION ALL SELECT c_custkey, 'PUT', -2.0, (SELECT max(seq) FROM ev) + 1 FROM customer WHERE c_custkey <= 10) SELECT k, arg_max(value, seq) AS value FROM more GROUP BY k HAVING arg_max(vop, seq) <> 'DELETE'")
+@query(f"WITH {EVENTS}, more AS (SELECT k, vop, value, seq FROM ev UNION ALL SELECT c_custkey, 'PUT', -2.0, (SELECT max(seq) FROM ev) + 1 FROM customer) SELECT k, arg_max(value, seq) AS value FROM more GROUP BY k HAVING arg_max(vop, seq) <> 'DELETE'")
 def restore_then_write(spark, sf_dir):
     """Writes after a restore get numbers above all restored ones, so they win."""
     root = snapshot_of(spark, events_log(spark, sf_dir, VALUE_VERBS), "then-write")
     rows, seq = snapshots.restore(spark, root, ["1"], LOG_SCHEMA)
-    puts = table(spark, sf_dir, "customer").where("c_custkey <= 10").select(F.col("c_custkey").alias("k"), F.lit(PUT).alias("op"), F.lit(-2.0).alias("value"), F.lit(seq).alias("seq"))
+    puts = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.lit(PUT).alias("op"), F.lit(-2.0).alias("value"), F.lit(seq).alias("seq"))
     return folds.fold_value(rows.select("k", "op", "value", "seq").unionByName(puts)).select("k", "value")
 
 
+@query(f"WITH {LISTS}, {MAPS.removeprefix(EVENTS + ',').strip()}, vals AS (SELECT k, arg_max(value, seq) AS value FROM ev GROUP BY k HAVING arg_max(vop, seq) <> 'DELETE') SELECT 'values' AS state_name, k, '' AS uk, CAST(-1 AS BIGINT) AS pos, value FROM vals UNION ALL SELECT 'lists', k, '', pos, e FROM lists UNION ALL SELECT 'maps', k, uk, -1, uv FROM maps")
+def savepoint_scan_all_states(spark, sf_dir):
+    """Several named states in one savepoint, scanned together."""
+    root = snapshot_of(spark, named_states(spark, sf_dir), "all-states", kind="savepoint")
+    return snapshots.restore(spark, root, ["1"], STATES)[0].select("state_name", "k", F.coalesce("uk", F.lit("")).alias("uk"), F.coalesce("pos", F.lit(-1).cast("bigint")).alias("pos"), "value")
+
+
+@query(f"WITH {MAPS} SELECT k, uk, uv FROM maps")
+def savepoint_restore_one_state(spark, sf_dir):
+    """One of several named states; only its files are read."""
+    root = snapshot_of(spark, named_states(spark, sf_dir), "one-state", kind="savepoint")
+    return snapshots.restore(spark, root, ["1"], STATES)[0].where("state_name = 'maps'").select("k", "uk", F.col("value").alias("uv"))
+
+
+STATES = "state_name string, k bigint, uk string, pos bigint, value double, seq bigint"
+
+
+def named_states(spark, sf_dir):
+    lists_state = lists(spark, sf_dir).select("k", "pos", F.col("e").alias("value"), "seq")
+    maps_state = maps(spark, sf_dir).select("k", "uk", F.col("uv").alias("value"), "seq")
+    return snapshots.named(values=values(spark, sf_dir).select("k", "value", "seq"), lists=lists_state, maps=maps_state)
+
+
 # -- compaction --------------------------------------------------------------------------------------------------------
 
 
@@ -199,7 +225,7 @@ def restore_then_write(spark, sf_dir):
 def compact_minor_equiv(spark, sf_dir):
     """Old rows compacted with their tombstones, under new rows: the fold stays the same."""
     rows = events_log(spark, sf_dir, MAP_VERBS).select("k", "uk", "op", "value", "seq")
-    half = rows.agg(F.max("seq")).first()[0] // 2
+    half = rows.agg(F.floor(F.max("seq") / 2)).scalar()
     small = maintenance.compact_maps(rows.where(F.col("seq") <= half), major=False)
     return folds.fold_map(small.unionByName(rows.where(F.col("seq") > half))).select("k", "uk", "uv")
 
@@ -207,7 +233,7 @@ def compact_minor_equiv(spark, sf_dir):
 @query(f"WITH {LISTS} SELECT k, pos, e FROM lists")
 def compact_minor_list_equiv(spark, sf_dir):
     rows = events_log(spark, sf_dir, LIST_VERBS).select("k", "op", "value", "seq")
-    half = rows.agg(F.max("seq")).first()[0] // 2
+    half = rows.agg(F.floor(F.max("seq") / 2)).scalar()
     small = maintenance.compact_lists(rows.where(F.col("seq") <= half), major=False)
     return folds.fold_list(small.select(*rows.columns).unionByName(rows.where(F.col("seq") > half))).select("k", "pos", "e")
 

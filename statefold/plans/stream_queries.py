@@ -1,66 +1,121 @@
-"""Streams that must end where the batch folds do."""
+"""Streams that must end where the batch folds do; each reads its log in three micro-batches and is resumed between them."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from statefold.functions.columns import millis
+from statefold.operators import folds
 from statefold.plans.registry import EVENTS, LISTS, MAPS, VALUES, query
-from statefold.sources.changelog import LIST_VERBS, MAP_VERBS, VALUE_VERBS, events_log
+from statefold.plans.state_queries import maps
+from statefold.sources.changelog import DELETE, LIST_VERBS, MAP_VERBS, PUT, VALUE_VERBS, events_log
 from statefold.streaming import processors as p
 from statefold.streaming import runs
 
 
-def final(spark, sf_dir, verbs, processor, what):
-    rows = events_log(spark, sf_dir, verbs).select("k", "uk", "op", "value", "seq")
-    # Whole batches in the order of seq: a file for each third of the log, read one at a time.
-    stream = runs.stream_of_log(rows.repartitionByRange(1, "seq"), 1)
-    return p.current(runs.run(runs.process(stream, processor), what)[0])
+def writes(spark, sf_dir, verbs):
+    return events_log(spark, sf_dir, verbs).select("k", "ns", "uk", "op", "value", "seq")
+
+
+def run_of(log, processor, what, **more):
+    return runs.run(log, lambda stream: runs.process(stream, processor, **more), what, clocked=more.get("time_mode") == "ProcessingTime")
 
 
 @query(f"WITH {VALUES} SELECT k, value FROM vals")
 def stream_value_equiv(spark, sf_dir):
-    return final(spark, sf_dir, VALUE_VERBS, p.ValueProcessor(), "stream-value").select("k", "value")
+    done = run_of(writes(spark, sf_dir, VALUE_VERBS), p.ValueProcessor(), "stream-value")
+    return p.values_of(done.state("value")).select("k", "value")
 
 
 @query(f"WITH {LISTS} SELECT k, pos, e FROM lists")
 def stream_list_equiv(spark, sf_dir):
-    return final(spark, sf_dir, LIST_VERBS, p.ListProcessor(), "stream-list").select("k", "pos", "e")
+    done = run_of(writes(spark, sf_dir, LIST_VERBS), p.ListProcessor(), "stream-list")
+    return folds.positions(p.elements_of(done.state("elements")), ["k"]).select("k", "pos", "e")
 
 
 @query(f"WITH {MAPS} SELECT k, uk, uv FROM maps")
 def stream_map_equiv(spark, sf_dir):
-    return final(spark, sf_dir, MAP_VERBS, p.MapProcessor(), "stream-map").select("k", "uk", "uv")
+    done = run_of(writes(spark, sf_dir, MAP_VERBS), p.MapProcessor(), "stream-map")
+    return p.entries_of(done.state("entries")).select("k", "uk", "uv")
+
 
+SUMS = "SELECT user_id AS k, round(sum(value), 2) AS total, count(value) AS n FROM events GROUP BY user_id"
 
-@query("SELECT user_id AS k, round(sum(value), 2) AS total, count(value) AS n FROM events GROUP BY user_id")
+
+@query(SUMS)
 def stream_reduce_equiv(spark, sf_dir):
-    """Three batches in any order: sums don't mind."""
-    rows = events_log(spark, sf_dir, {}).select("k", "uk", "op", "value", "seq")
-    written, _ = runs.run(runs.process(runs.stream_of_log(rows), p.ReduceProcessor()), "stream-reduce")
-    return written.groupBy("k").agg(F.max_by(F.round("total", 2), "n").alias("total"), F.max("n").alias("n"))
+    done = run_of(writes(spark, sf_dir, {}), p.ReduceProcessor(), "stream-reduce")
+    return done.written.groupBy("k").agg(F.max_by(F.round("total", 2), "n").alias("total"), F.max("n").alias("n"))
+
+
+@query(f"WITH {EVENTS} SELECT k, ns, round(sum(value), 2) AS total, count(value) AS n FROM ev GROUP BY k, ns")
+def stream_ns_reduce(spark, sf_dir):
+    """State by key and namespace."""
+    done = run_of(writes(spark, sf_dir, {}), p.ReduceProcessor("k bigint, ns string"), "stream-ns-reduce")
+    return done.state("acc").select(F.col("key.k").alias("k"), F.col("key.ns").alias("ns"), F.round("value.total", 2).alias("total"), F.col("value.n").alias("n"))
 
 
-@query("SELECT user_id AS k, round(sum(value), 2) AS total, count(value) AS n FROM events GROUP BY user_id")
+@query(SUMS)
 def stream_rescaled_reduce(spark, sf_dir):
     """The first half's state, read from a stopped query's checkpoint, is where a second query begins."""
-    rows = events_log(spark, sf_dir, {}).select("k", "uk", "op", "value", "seq")
-    half = rows.agg(F.max("seq")).first()[0] // 2
-    _, checkpoint = runs.run(runs.process(runs.stream_of_log(rows.where(F.col("seq") <= half), 1), p.ReduceProcessor()), "stream-half")
-    old = runs.read_state(spark, checkpoint, "acc").select(F.col("key.k").alias("k"), F.col("value.total").alias("total"), F.col("value.n").alias("n"))
-    rest = runs.stream_of_log(rows.where(F.col("seq") > half), 1)
-    written, _ = runs.run(runs.process(rest, p.ReduceProcessor(), initial=old), "stream-rest")
-    new = written.groupBy("k").agg(F.max_by("total", "n").alias("total"), F.max("n").alias("n"))
-    kept = old.join(new.select("k"), "k", "left_anti")
-    return new.unionByName(kept).select("k", F.round("total", 2).alias("total"), "n")
-
-
-@query(f"WITH {EVENTS}, t AS (SELECT k, epoch_us(ts) // 1000 + 3600000 AS fired FROM ev), m AS (SELECT (max(epoch_us(ts)) // 1000) - 86400000 AS w FROM ev) SELECT DISTINCT k, CAST(fired AS BIGINT) AS fired FROM t, m WHERE fired <= w")
+    rows = writes(spark, sf_dir, {})
+    middle = rows.agg(F.max("seq") / 2).scalar()
+    first, second = rows.where(F.col("seq") <= middle), rows.where(F.col("seq") > middle)
+    half = run_of(first, p.ReduceProcessor(), "stream-half")
+    old = half.state("acc").select(F.col("key.k").alias("k"), F.col("value.total").alias("total"), F.col("value.n").alias("n"))
+    rest = runs.Run(spark, "stream-rest", rows.schema)
+    second.write.parquet(rest.source)
+    rest.resume(lambda stream: runs.process(stream, p.ReduceProcessor(), initial=old))
+    return rest.state("acc").select(F.col("key.k").alias("k"), F.round("value.total", 2).alias("total"), F.col("value.n").alias("n"))
+
+
+@query(f"WITH {MAPS} SELECT k, uk, uv FROM maps")
+def stream_restored_map(spark, sf_dir):
+    """A stream that begins with the folded maps of the log's first half."""
+    rows = writes(spark, sf_dir, MAP_VERBS)
+    middle = rows.agg(F.max("seq") / 2).scalar()
+    first, second = rows.where(F.col("seq") <= middle), rows.where(F.col("seq") > middle)
+    old = folds.fold_map(first).select("k", "uk", "uv", "seq")
+    rest = runs.Run(spark, "stream-restored", rows.schema)
+    second.write.parquet(rest.source)
+    rest.resume(lambda stream: runs.process(stream, p.MapProcessor(), initial=old))
+    return p.entries_of(rest.state("entries")).select("k", "uk", "uv")
+
+
+@query(f"WITH {EVENTS}, m AS (SELECT min(seq) AS a, max(seq) AS z FROM ev) SELECT k, round(sum(value), 2) AS total, count(value) AS n FROM ev, m WHERE seq > a + 2 * ((z - a) / 3.0) GROUP BY k")
+def stream_ttl_value(spark, sf_dir):
+    """State that expires a millisecond after its write is gone when the next part comes: sums are the last part's own."""
+    rows = writes(spark, sf_dir, {})
+    done = run_of(rows, p.ReduceProcessor(ttl=1), "stream-ttl", time_mode="ProcessingTime")
+    edge = rows.agg(F.min("seq") + 2 * ((F.max("seq") - F.min("seq")) / 3.0)).scalar()
+    return done.written.where(F.col("seq") > edge).select("k", F.round("total", 2).alias("total"), "n")
+
+
+WATERMARK = "(SELECT (max(epoch_us(ts)) // 1000) - 86400000 FROM ev)"
+
+
+def timers_of(spark, sf_dir, removing: bool):
+    rows = events_log(spark, sf_dir, {}).withColumn("time", F.col("ts").cast("timestamp"))
+    op = F.when((F.col("uk") == "purchase") & F.lit(removing), DELETE).otherwise(PUT)
+    at = (F.floor(millis(F.col("ts")) / 3_600_000) + 1) * 3_600_000
+    return rows.select("k", "seq", "time", op.alias("op"), at.alias("at"))
+
+
+def fired(spark, sf_dir, removing, what):
+    timed = lambda stream: runs.process(stream.withWatermark("time", "1 day"), p.TimerProcessor(), time_mode="EventTime")
+    return runs.run(timers_of(spark, sf_dir, removing), timed, what, order="time").written.select("k", "fired")
+
+
+@query(f"WITH {EVENTS}, t AS (SELECT k, ((epoch_us(ts) // 3600000000) + 1) * 3600000 AS fired FROM ev) SELECT DISTINCT k, CAST(fired AS BIGINT) AS fired FROM t WHERE fired <= {WATERMARK}")
 def stream_timer_equiv(spark, sf_dir):
-    """Timers an hour after each event, fired as the watermark, a day behind the newest event, passes them."""
-    rows = events_log(spark, sf_dir, {}).select("k", F.col("ts").cast("timestamp").alias("time"), millis(F.col("ts")).alias("ms"))
-    stream = runs.stream_of_log(rows.repartitionByRange(1, "time"), 1).withWatermark("time", "1 day")
-    return runs.run(runs.process(stream, p.TimerProcessor(3_600_000), time_mode="EventTime"), "stream-timer")[0]
+    """Timers at the hour after each event, fired as the watermark, a day behind the newest event, passes them."""
+    return fired(spark, sf_dir, False, "stream-timer")
+
+
+@query(f"WITH {EVENTS}, t AS (SELECT k, ((epoch_us(ts) // 3600000000) + 1) * 3600000 AS fired, uk, seq FROM ev) SELECT k, CAST(fired AS BIGINT) AS fired FROM t WHERE fired <= {WATERMARK} GROUP BY k, fired HAVING arg_max(uk, seq) <> 'purchase'")
+def stream_timer_removed(spark, sf_dir):
+    """Purchases remove the timer of their hour."""
+    return fired(spark, sf_dir, True, "stream-timer-removed")
 
 
 @query("""WITH w AS (SELECT user_id AS k, date_trunc('day', ts) AS d, ts FROM events), m AS (SELECT max(ts) - INTERVAL 1 DAY AS t FROM events)
@@ -68,9 +123,8 @@ SELECT k, CAST(epoch_us(d) // 1000 AS BIGINT) AS start_ms, count(*) AS n FROM w,
 def stream_windows_closed(spark, sf_dir):
     """Daily windows that the watermark has closed."""
     rows = events_log(spark, sf_dir, {}).select("k", F.col("ts").cast("timestamp").alias("time"))
-    stream = runs.stream_of_log(rows.repartitionByRange(1, "time"), 1)
-    done, _ = runs.run(runs.windowed_counts(stream, "1 day", "1 day"), "stream-windows")
-    return done.select("k", millis(F.col("start")).alias("start_ms"), "n")
+    done = runs.run(rows, lambda stream: runs.windowed_counts(stream, "1 day", "1 day"), "stream-windows", order="time")
+    return done.written.select("k", millis(F.col("start")).alias("start_ms"), "n")
 
 
 @query("""WITH t AS (SELECT user_id AS k, epoch_us(ts) AS us FROM events), m AS (SELECT k, us, CASE WHEN us - lag(us) OVER w < 21600000000 THEN 0 ELSE 1 END AS new FROM t WINDOW w AS (PARTITION BY k ORDER BY us)),
@@ -78,6 +132,5 @@ s AS (SELECT k, us, sum(new) OVER (PARTITION BY k ORDER BY us) AS g FROM m), d A
 SELECT k, CAST(a AS BIGINT) AS start_us, CAST(z AS BIGINT) AS end_us, n FROM d WHERE z <= (SELECT (max(us) // 1000) * 1000 - 86400000000 FROM t)""")
 def stream_sessions_closed(spark, sf_dir):
     rows = events_log(spark, sf_dir, {}).select("k", F.col("ts").cast("timestamp").alias("time"))
-    stream = runs.stream_of_log(rows.repartitionByRange(1, "time"), 1)
-    done, _ = runs.run(runs.session_counts(stream, "6 hours", "1 day"), "stream-sessions")
-    return done.select("k", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
+    done = runs.run(rows, lambda stream: runs.session_counts(stream, "6 hours", "1 day"), "stream-sessions", order="time")
+    return done.written.select("k", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")

@@ -14,6 +14,8 @@ def fresh(spark: SparkSession, what: str) -> str:
     """A new path in spark.checkpoint.dir, which all executors share; where that is unset, in a folder of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="statefold-state-")
         spark.conf.set("spark.checkpoint.dir", root)
         atexit.register(shutil.rmtree, root, ignore_errors=True)

@@ -2,7 +2,8 @@
 
 A snapshot is a folder ``snap-<id>`` with data and, written last, a manifest; without a manifest it is pending and can't
 be a parent or be restored. An incremental snapshot holds the log rows after its parent's and names its ancestors. Data
-are partitioned by key group, so a part of the key groups is a partition-pruned read.
+are partitioned by key group, and by state_name where there are several states, so reading some key groups or one state
+is a partition-pruned read. Rows are dealt in ranges of (key group, key, seq), so a large group or key is many tasks.
 """
 
 from __future__ import annotations
@@ -49,7 +50,8 @@ def write(log: DataFrame, root: str, snap: str, kind: str = "full", parent: str
     if owned:
         placed = placed.where(F.col("key_group").between(*owned))
     data = f"{folder(root, snap)}/data"
-    placed.repartition("key_group").sortWithinPartitions("key_group", "k").write.partitionBy("key_group").parquet(data)
+    by = [c for c in ("state_name",) if c in placed.columns]
+    placed.repartitionByRange(*by, "key_group", "k", "seq").sortWithinPartitions(*by, "key_group", "k", "seq").write.partitionBy(*by, "key_group").parquet(data)
     last = log.agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0]
     first_group, last_group = owned or (0, groups - 1)
     made = (snap, parent, kind, groups, first_group, last_group, last, json.dumps(ancestors))
@@ -57,6 +59,23 @@ def write(log: DataFrame, root: str, snap: str, kind: str = "full", parent: str
     return manifest(spark, root, snap)
 
 
+def named(**states: DataFrame) -> DataFrame:
+    """Several states, each under its name, as rows of one snapshot; columns that a state lacks are null."""
+    parts = [rows.withColumn("state_name", F.lit(name)) for name, rows in states.items()]
+    out = parts[0]
+    for rows in parts[1:]:
+        out = out.unionByName(rows, allowMissingColumns=True)
+    return out
+
+
+def abort(spark: SparkSession, root: str, snap: str) -> None:
+    """Deletes what a snapshot that was not completed has written; a complete one can't be aborted."""
+    if complete(spark, root, snap):
+        raise ValueError(f"the snapshot {snap} is complete")
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder(root, snap))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def restore(spark: SparkSession, root: str, snaps: list[str], schema, owned: tuple[int, int] | None = None) -> tuple[DataFrame, int]:
     """(rows of the snapshots and their ancestors within the owned key groups, seq to go on from).
 

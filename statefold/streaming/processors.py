@@ -1,7 +1,10 @@
-"""Stateful processors for value, list, map, reducing and timer state.
+"""Stateful processors for value, list, map, reducing and timer state, by key or by key and namespace.
 
-A processor reads the writes of its key in the order of seq within a micro-batch and emits the key's state as it is after
-the batch, marked with the batch's last seq; the last mark of a key is its current state (``current``).
+Rows of a micro-batch come in any order: state remembers the seq of what it holds, so a row only has to be compared with
+it, and nothing is sorted or gathered. Each processor emits what the batch changed; the state itself is read from the
+checkpoint (``runs.read_state``) and finished by the readers below. A processor may begin with state that another
+query, or a snapshot, hands over: one row for each value, element or entry. ``ttl`` is Spark's, in milliseconds of
+processing time since the last write.
 """
 
 from __future__ import annotations
@@ -15,139 +18,186 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from statefold.sources.changelog import APPEND, CLEAR, DELETE, PUT
 
+#: In place of the seq of a reset that has not been.
+NEVER = -1
 
-def in_order(rows: Iterator[Row]) -> list[Row]:
-    return sorted(rows, key=lambda r: r["seq"])
 
+class KeyedProcessor(StatefulProcessor):
+    """Keys named as in a schema string, and the type of values; ``changes`` are the columns emitted beside the keys."""
 
-class ValueProcessor(StatefulProcessor):
-    output = "k bigint, seq bigint, value double, live boolean"
+    changes = ""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("value", "value double")
+    def __init__(self, keys: str = "k bigint", value: str = "double", ttl: int | None = None):
+        self.keys, self.value, self.ttl = keys, value, ttl
+        self.names = [c.split()[0] for c in keys.split(", ")]
+        self.output = f"{keys}, {self.changes.format(value=value)}"
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        got = in_order(rows)
-        last = got[-1]
-        if last["op"] == DELETE:
-            self.state.clear()
-        else:
-            self.state.update((last["value"],))
-        live = self.state.exists()
-        yield Row(k=key[0], seq=last["seq"], value=self.state.get()[0] if live else None, live=live)
+    def changed(self, key: tuple, **columns) -> Row:
+        return Row(**dict(zip(self.names, key, strict=True)), **columns)
 
     def close(self) -> None:
         pass
 
 
-class ListProcessor(StatefulProcessor):
-    output = "k bigint, seq bigint, pos bigint, e double, live boolean"
+def rows_of(given) -> Iterator[dict]:
+    """Rows of handed-over state, whichever way Spark passes them."""
+    if isinstance(given, pd.DataFrame):
+        yield from given.to_dict("records")
+    else:
+        yield given.asDict()
+
+
+class ValueProcessor(KeyedProcessor):
+    changes = "seq bigint, value {value}, live boolean"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getListState("list", "e double")
+        self.state = handle.getValueState("value", f"seq bigint, value {self.value}, live boolean", self.ttl)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        for r in rows_of(initialState):
+            self.state.update((int(r["seq"]), r["value"], True))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        got = in_order(rows)
-        for r in got:
-            if r["op"] == DELETE:
-                self.state.clear()
-            elif r["op"] == PUT:
-                self.state.put([(r["value"],)])
-            elif r["op"] == APPEND:
-                self.state.appendValue((r["value"],))
-        seq, n = got[-1]["seq"], 0
-        for n, (e,) in enumerate(self.state.get(), 1):
-            yield Row(k=key[0], seq=seq, pos=n - 1, e=e, live=True)
-        if not n:
-            yield Row(k=key[0], seq=seq, pos=None, e=None, live=False)
+        seq, value, live = before = tuple(self.state.get()) if self.state.exists() else (NEVER, None, False)
+        for r in rows:
+            if r["seq"] > seq:
+                seq, value, live = r["seq"], r["value"], r["op"] != DELETE
+        if seq > before[0]:
+            self.state.update((seq, value if live else None, live))
+            yield self.changed(key, seq=seq, value=value if live else None, live=live)
 
-    def close(self) -> None:
-        pass
 
+class ListProcessor(KeyedProcessor):
+    """Elements under the seq of their write, and the seq of the last write that reset the list."""
 
-class MapProcessor(StatefulProcessor):
-    output = "k bigint, seq bigint, uk string, uv double, live boolean"
+    changes = "seq bigint, e {value}, op string"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getMapState("map", "uk string", "uv double")
+        self.elements = handle.getMapState("elements", "seq bigint", f"e {self.value}", self.ttl)
+        self.reset = handle.getValueState("reset", "seq bigint", self.ttl)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        for r in rows_of(initialState):
+            self.elements.updateValue((int(r["seq"]),), (r["e"],))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        got = in_order(rows)
-        for r in got:
-            if r["op"] == CLEAR:
-                self.state.clear()
-            elif r["uk"] is None:
-                continue
-            elif r["op"] == PUT:
-                self.state.updateValue((r["uk"],), (r["value"],))
-            elif r["op"] == DELETE and self.state.containsKey((r["uk"],)):
-                self.state.removeKey((r["uk"],))
-        seq, some = got[-1]["seq"], False
-        for (uk,), (uv,) in self.state.iterator():
-            some = True
-            yield Row(k=key[0], seq=seq, uk=uk, uv=uv, live=True)
-        if not some:
-            yield Row(k=key[0], seq=seq, uk=None, uv=None, live=False)
+        before = reset = self.reset.get()[0] if self.reset.exists() else NEVER
+        for r in rows:
+            if r["op"] in (PUT, DELETE):
+                reset = max(reset, r["seq"])
+            if r["op"] in (PUT, APPEND) and r["seq"] >= reset:
+                self.elements.updateValue((r["seq"],), (r["value"],))
+                yield self.changed(key, seq=r["seq"], e=r["value"], op=APPEND)
+        if reset > before:
+            self.reset.update((reset,))
+            for old in [s for (s,) in self.elements.keys() if s < reset]:  # as many as the list had elements
+                self.elements.removeKey((old,))
+            yield self.changed(key, seq=reset, e=None, op=CLEAR)
 
-    def close(self) -> None:
-        pass
 
+class MapProcessor(KeyedProcessor):
+    """Entries under their user key with the seq of their last write, and the seq of the last CLEAR."""
+
+    changes = "seq bigint, uk string, uv {value}, op string"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.entries = handle.getMapState("entries", "uk string", f"seq bigint, uv {self.value}, live boolean", self.ttl)
+        self.cleared = handle.getValueState("cleared", "seq bigint", self.ttl)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        for r in rows_of(initialState):
+            self.entries.updateValue((r["uk"],), (int(r["seq"]), r["uv"], True))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        before = cleared = self.cleared.get()[0] if self.cleared.exists() else NEVER
+        for r in rows:
+            if r["op"] == CLEAR:
+                cleared = max(cleared, r["seq"])
+            elif r["uk"] is not None and r["op"] in (PUT, DELETE) and r["seq"] > cleared:
+                old = self.entries.getValue((r["uk"],)) if self.entries.containsKey((r["uk"],)) else None
+                if old is None or r["seq"] > old[0]:
+                    live = r["op"] == PUT
+                    self.entries.updateValue((r["uk"],), (r["seq"], r["value"] if live else None, live))
+                    yield self.changed(key, seq=r["seq"], uk=r["uk"], uv=r["value"] if live else None, op=r["op"])
+        if cleared > before:
+            self.cleared.update((cleared,))
+            for (uk,) in [k for k, (seq, _, _) in self.entries.iterator() if seq < cleared]:  # as many as the map had entries
+                self.entries.removeKey((uk,))
+            yield self.changed(key, seq=cleared, uk=None, uv=None, op=CLEAR)
 
-class ReduceProcessor(StatefulProcessor):
-    """Sum and count of the non-null values; a first state may be handed over from a snapshot."""
 
-    output = "k bigint, seq bigint, total double, n bigint, live boolean"
+class ReduceProcessor(KeyedProcessor):
+    """Sum and count of the non-null values; ``seq`` is the last that was seen."""
+
+    changes = "seq bigint, total double, n bigint"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("acc", "total double, n bigint")
+        self.state = handle.getValueState("acc", "total double, n bigint", self.ttl)
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        first = initialState.iloc[0] if isinstance(initialState, pd.DataFrame) else initialState
-        self.state.update((float(first["total"]), int(first["n"])))
+        for r in rows_of(initialState):
+            self.state.update((float(r["total"]), int(r["n"])))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         total, n = self.state.get() if self.state.exists() else (0.0, 0)
-        seq = -1
-        for r in in_order(rows):
-            seq = r["seq"]
+        seq = NEVER
+        for r in rows:
+            seq = max(seq, r["seq"])
             if r["value"] is not None:
                 total, n = total + r["value"], n + 1
         if n:
             self.state.update((total, n))
-        yield Row(k=key[0], seq=seq, total=total if n else None, n=n, live=n > 0)
-
-    def close(self) -> None:
-        pass
+            yield self.changed(key, seq=seq, total=total, n=n)
 
 
-class TimerProcessor(StatefulProcessor):
-    """Sets an event-time timer ``delay_ms`` after each row and emits it when the watermark passes; one timer a time and key."""
+class TimerProcessor(KeyedProcessor):
+    """Event-time timers at ``at`` milliseconds: PUT sets one, DELETE removes it, the last write counts; emits those that fire.
 
-    output = "k bigint, fired bigint"
+    The timers a key has are the live rows of its state variable "last".
+    """
 
-    def __init__(self, delay_ms: int):
-        self.delay_ms = delay_ms
+    changes = "fired bigint"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getValueState("seen", "n bigint")
+        self.last = handle.getMapState("last", "at bigint", "seq bigint, live boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        n = self.seen.get()[0] if self.seen.exists() else 0
         for r in rows:
-            self.handle.registerTimer(r["ms"] + self.delay_ms)
-            n += 1
-        self.seen.update((n,))
+            at, live = (r["at"],), r["op"] == PUT
+            old = self.last.getValue(at) if self.last.containsKey(at) else (NEVER, False)
+            if r["seq"] > old[0]:
+                if live and not old[1]:
+                    self.handle.registerTimer(at[0])
+                elif old[1] and not live:
+                    self.handle.deleteTimer(at[0])
+                self.last.updateValue(at, (r["seq"], live))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        yield Row(k=key[0], fired=expiredTimerInfo.getExpiryTimeInMs())
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        if self.last.containsKey((at,)):
+            self.last.removeKey((at,))
+        yield self.changed(key, fired=at)
 
-    def close(self) -> None:
-        pass
+
+# -- state as tables, from what ``runs.read_state`` returns ------------------------------------------------------------
+
+
+def keys_in(state: DataFrame) -> list:
+    return [F.col(f"key.{c}").alias(c) for c in state.schema["key"].dataType.names]
+
+
+def values_of(state: DataFrame) -> DataFrame:
+    """keys, seq, value of live values (variable "value")."""
+    return state.select(*keys_in(state), "value.*").where("live").drop("live")
+
+
+def elements_of(state: DataFrame) -> DataFrame:
+    """keys, seq, e of lists (variable "elements"); ``folds.positions`` numbers them."""
+    return state.select(*keys_in(state), F.col("user_map_key.seq").alias("seq"), F.col("user_map_value.e").alias("e"))
 
 
-def current(emitted: DataFrame) -> DataFrame:
-    """The rows of each key's last emission, without those of empty state."""
-    last = emitted.groupBy("k").agg(F.max("seq").alias("_last"))
-    return emitted.join(last, "k").where((F.col("seq") == F.col("_last")) & F.col("live")).drop("_last", "live")
+def entries_of(state: DataFrame) -> DataFrame:
+    """keys, uk, seq, uv of live entries (variable "entries")."""
+    return state.select(*keys_in(state), F.col("user_map_key.uk").alias("uk"), "user_map_value.*").where("live").drop("live")

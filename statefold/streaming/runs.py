@@ -1,7 +1,9 @@
-"""Running processors and windows over a table's files until all is read."""
+"""Running processors and windows over tables that arrive in parts, until all is read."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,42 +12,57 @@ from statefold.sources.scratch import fresh
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def stream_of(spark: SparkSession, sf_dir: str, name: str, per_batch: int = 4) -> DataFrame:
-    """A table's files as a stream."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", per_batch).parquet(sf_dir)
-
-
-def stream_of_log(log: DataFrame, parts: int = 3) -> DataFrame:
-    """A changelog, written in files and read as a stream, a file a batch; files may hold any rows."""
-    path = fresh(log.sparkSession, "log-stream")
-    log.repartition(parts).write.parquet(path)
-    return log.sparkSession.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(path)
-
-
-def run(out: DataFrame, what: str, mode: str = "append") -> tuple[DataFrame, str]:
-    """(what the stream wrote, its checkpoint)."""
-    spark = out.sparkSession
-    path, checkpoint = fresh(spark, what), fresh(spark, f"{what}-checkpoint")
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    try:
-        query = out.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
-        query.awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
-    return spark.read.schema(out.schema).parquet(path), checkpoint
-
-
-def process(stream: DataFrame, processor, key: str = "k", time_mode: str = "None", mode: str = "append", initial: DataFrame | None = None) -> DataFrame:
+class Run:
+    """A stream that is stopped and resumed from its checkpoint: ``written`` is what it has emitted, ``batches`` how many had rows."""
+
+    def __init__(self, spark: SparkSession, what: str, schema):
+        self.spark, self.source, self.schema = spark, fresh(spark, f"{what}-source"), schema
+        self.path, self.checkpoint, self.batches = fresh(spark, what), fresh(spark, f"{what}-checkpoint"), 0
+
+    def resume(self, make: Callable[[DataFrame], DataFrame], mode: str = "append", clocked: bool = False) -> None:
+        """Reads what has come since the last time, in one micro-batch, and stops.
+
+        A last batch without rows lets event time end what it can; where the clock drives state (``clocked``) such batches
+        would never end, so there is none.
+        """
+        stream = self.spark.readStream.schema(self.schema).parquet(self.source)
+        out = make(stream)
+        before = self.spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+        self.spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+        try:
+            query = out.writeStream.format("parquet").option("path", self.path).option("checkpointLocation", self.checkpoint).outputMode(mode).trigger(**({"once": True} if clocked else {"availableNow": True})).start()
+            query.awaitTermination()
+        finally:
+            self.spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        self.batches += sum(p["numInputRows"] > 0 for p in query.recentProgress)
+        self.written = self.spark.read.schema(out.schema).parquet(self.path)
+
+    def state(self, variable: str) -> DataFrame:
+        """A state variable as the stopped query left it."""
+        return self.spark.read.format("statestore").option("stateVarName", variable).load(self.checkpoint)
+
+
+def run(log: DataFrame, make: Callable[[DataFrame], DataFrame], what: str, order: str = "seq", parts: int = 3, mode: str = "append", clocked: bool = False) -> Run:
+    """Lets ``log`` arrive in ``parts`` ranges of ``order``, one micro-batch each, in as many files as its partitions.
+
+    The query is stopped after each and resumed from its checkpoint, as it would be after a failure.
+    """
+    made = Run(log.sparkSession, what, log.schema)
+    edge = F.col(order).cast("timestamp").cast("double") if dict(log.dtypes)[order].startswith("timestamp") else F.col(order).cast("double")
+    least, most = log.agg(F.min(edge), F.max(edge)).first()
+    least, step = least or 0.0, ((most or 0.0) - (least or 0.0)) / parts
+    for i in range(parts):
+        lower, upper = edge > least + i * step if i else F.lit(True), edge <= least + (i + 1) * step if i < parts - 1 else F.lit(True)
+        log.where(lower & upper).write.mode("append").parquet(made.source)
+        made.resume(make, mode, clocked)
+    return made
+
+
+def process(stream: DataFrame, processor, keys: list[str] | None = None, time_mode: str = "None", mode: str = "append", initial: DataFrame | None = None) -> DataFrame:
     """The processor's emissions as a stream; ``initial`` is state by key that it begins with."""
-    more = {} if initial is None else {"initialState": initial.groupBy(key)}
-    return stream.groupBy(key).transformWithState(statefulProcessor=processor, outputStructType=processor.output, outputMode=mode, timeMode=time_mode, **more)
-
-
-def read_state(spark: SparkSession, checkpoint: str, variable: str) -> DataFrame:
-    """A state variable of a stopped query, from its checkpoint."""
-    return spark.read.format("statestore").option("stateVarName", variable).load(checkpoint)
+    keys = keys or processor.names
+    more = {} if initial is None else {"initialState": initial.groupBy(*keys)}
+    return stream.groupBy(*keys).transformWithState(statefulProcessor=processor, outputStructType=processor.output, outputMode=mode, timeMode=time_mode, **more)
 
 
 def windowed_counts(stream: DataFrame, window: str, delay: str) -> DataFrame:

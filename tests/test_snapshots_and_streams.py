@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from test_folds import MAP_MIX, SCHEMA, VALUE_MIX, as_maps, frame
 
 from statefold.functions.columns import group_range, live
-from statefold.operators import folds, maintenance
+from statefold.operators import folds, maintenance, tables
 from statefold.sources import snapshots
 from statefold.streaming import processors, runs
 
@@ -77,18 +77,60 @@ def log_of(spark, rows):
 
 def test_streamed_state_goes_on_between_batches(spark):
     rows = [(i % 3, f"u{i % 4}", ("PUT", "APPEND", "DELETE", "APPEND")[i % 4] if i % 3 else "APPEND", float(i), i) for i in range(40)]
-    log = log_of(spark, rows)
-    stream = runs.stream_of_log(log.repartitionByRange(1, "seq"), 1)
-    got = processors.current(runs.run(runs.process(stream, processors.ListProcessor()), "t-list")[0])
+    log = log_of(spark, rows).repartition(3)  # rows of a batch come in any order
+    done = runs.run(log, lambda stream: runs.process(stream, processors.ListProcessor()), "t-list")
+    assert done.batches == 3
+    got = folds.positions(processors.elements_of(done.state("elements")), ["k"])
     want = folds.fold_list(log).select("k", "pos", "e")
     assert sorted(map(tuple, got.select("k", "pos", "e").collect())) == sorted(map(tuple, want.collect()))
+    appended = done.written.where("op = 'APPEND'").count()
+    assert appended <= 40  # what changed, not whole lists again and again
+
+
+def handed_over(spark, processor, rows, initial):
+    rest = runs.Run(spark, "t-rest", rows.schema)
+    rows.write.parquet(rest.source)
+    rest.resume(lambda stream: runs.process(stream, processor, initial=initial))
+    return rest
 
 
 def test_state_is_read_from_a_checkpoint_and_handed_over(spark):
-    first = runs.stream_of_log(log_of(spark, [(1, "u", "PUT", 2.0, 1), (2, "u", "PUT", 3.0, 2)]), 1)
-    _, checkpoint = runs.run(runs.process(first, processors.ReduceProcessor()), "t-first")
-    old = runs.read_state(spark, checkpoint, "acc").select(F.col("key.k").alias("k"), F.col("value.total").alias("total"), F.col("value.n").alias("n"))
+    first = runs.run(log_of(spark, [(1, "u", "PUT", 2.0, 1), (2, "u", "PUT", 3.0, 2)]), lambda s: runs.process(s, processors.ReduceProcessor()), "t-first", parts=1)
+    old = first.state("acc").select(F.col("key.k").alias("k"), F.col("value.total").alias("total"), F.col("value.n").alias("n"))
     assert {(r.k, r.total, r.n) for r in old.collect()} == {(1, 2.0, 1), (2, 3.0, 1)}
-    second = runs.stream_of_log(log_of(spark, [(1, "u", "PUT", 5.0, 3)]), 1)
-    out, _ = runs.run(runs.process(second, processors.ReduceProcessor(), initial=old), "t-second")
-    assert {(r.k, r.total, r.n) for r in out.collect() if r.k == 1} == {(1, 7.0, 2)}
+    rest = handed_over(spark, processors.ReduceProcessor(), log_of(spark, [(1, "u", "PUT", 5.0, 3)]), old)
+    assert {(r.k, r.total, r.n) for r in rest.written.collect()} == {(1, 7.0, 2)}
+
+
+def test_lists_are_handed_over(spark):
+    old = spark.createDataFrame([(1, 1, 1.0), (1, 2, 2.0), (2, 3, 3.0)], "k bigint, seq bigint, e double")
+    rest = handed_over(spark, processors.ListProcessor(), log_of(spark, [(1, None, "APPEND", 5.0, 10), (2, None, "DELETE", None, 11)]), old)
+    got = folds.positions(processors.elements_of(rest.state("elements")), ["k"]).select("k", "pos", "e").collect()
+    assert sorted(map(tuple, got)) == [(1, 0, 1.0), (1, 1, 2.0), (1, 2, 5.0)]
+
+
+def test_an_uncompleted_snapshot_is_aborted(spark, tmp_path):
+    rows, root = frame(spark, random_log(5, VALUE_MIX, 50)), str(tmp_path)
+    rows.write.parquet(f"{root}/snap-p/data")
+    snapshots.abort(spark, root, "p")
+    assert not (tmp_path / "snap-p").exists()
+    snapshots.write(rows, root, "q")
+    with pytest.raises(ValueError, match="complete"):
+        snapshots.abort(spark, root, "q")
+
+
+def test_one_of_several_states_is_a_pruned_read(spark, tmp_path):
+    rows = frame(spark, random_log(6, VALUE_MIX, 200)).select("k", "value", "seq")
+    snapshots.write(snapshots.named(a=rows, b=rows.withColumn("uk", F.lit("x"))), str(tmp_path), "s", "savepoint")
+    back, _ = snapshots.restore(spark, str(tmp_path), ["s"], "state_name string, k bigint, uk string, value double, seq bigint")
+    one = back.where("state_name = 'b'")
+    assert one.count() == rows.count() and one.where("uk is null").count() == 0
+    assert "PartitionFilters: [isnotnull(state_name" in one._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_put_list_must_not_hold_nulls(spark):
+    rows = spark.createDataFrame([(1, [1.0, None], 1)], "k bigint, value array<double>, seq bigint")
+    with pytest.raises(Exception, match="must not hold nulls"):
+        tables.put_lists(rows).collect()
+    none = spark.createDataFrame([(1, [], 1), (2, None, 2)], "k bigint, value array<double>, seq bigint")
+    assert tables.put_lists(none).count() == 0
