@@ -9,8 +9,18 @@ _RULES = {"short": "n_words < 10", "repeats": "100 * n_repeat_words > 20 * n_wor
 
 
 def _prior(k: str) -> str:
-    m, v = f"avg(f_{k} / n)", f"var_pop(f_{k} / n)"
-    return f"{m} AS m_{k}, CASE WHEN {v} > 0 THEN least(1000.0, greatest(1.0, {m} * (1 - {m}) / {v} - 1)) ELSE 1000.0 END AS w_{k}"
+    return f"sum(f_{k}) / sum(n) AS m_{k}, sum(f_{k} * f_{k} / n) AS ff_{k}"
+
+
+def _weight(k: str) -> str:
+    own = f"((ff_{k} - t * m_{k} * m_{k}) / (m_{k} * (1 - m_{k})) - (hosts - 1)) / (t - nn / t - (hosts - 1))"
+    some = f"m_{k} * (1 - m_{k}) > 0 AND t - nn / t - (hosts - 1) > 0"
+    return f"CASE WHEN {some} THEN CASE WHEN {own} > 0 THEN least(1e6, greatest(0.01, 1 / ({own}) - 1)) ELSE 1e6 END ELSE 1e6 END AS w_{k}"
+
+
+def _bad(k: str) -> str:
+    rate = f"((f_{k} + w_{k} * m_{k}) / (n + w_{k}))"
+    return f"{rate} - 2 * sqrt(greatest(0, {rate} * (1 - {rate})) / (n + w_{k} + 1)) > greatest(0.2, 2 * m_{k})"
 
 
 QUALITY_RULES = rf"""
@@ -22,9 +32,10 @@ c AS (SELECT d.r, doc_id, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(coale
   CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
   CAST(len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, {WORDS}))) - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, {WORDS})))) AS BIGINT) AS n_dup_lines,
   CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words FROM d LEFT JOIN rep ON d.r = rep.r),
-h AS (SELECT source, count(*) AS n, {", ".join(f"sum(CASE WHEN {x} THEN 1.0 ELSE 0.0 END) AS f_{k}" for k, x in _RULES.items())} FROM c WHERE source IS NOT NULL GROUP BY source),
-p AS (SELECT {", ".join(map(_prior, _RULES))} FROM h),
-bad AS (SELECT source FROM h, p WHERE {" OR ".join(f"(f_{k} + w_{k} * m_{k}) / (n + w_{k}) > 0.5" for k in _RULES)})
+h AS (SELECT source, CAST(count(*) AS DOUBLE) AS n, {", ".join(f"sum(CASE WHEN {x} THEN 1e0 ELSE 0e0 END) AS f_{k}" for k, x in _RULES.items())} FROM c WHERE source IS NOT NULL GROUP BY source),
+p0 AS (SELECT count(*) AS hosts, sum(n) AS t, sum(n * n) AS nn, {", ".join(map(_prior, _RULES))} FROM h),
+p AS (SELECT *, {", ".join(map(_weight, _RULES))} FROM p0),
+bad AS (SELECT source FROM h, p WHERE {" OR ".join(map(_bad, _RULES))})
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT coalesce(source IN (SELECT source FROM bad), false) AS kept FROM c"""
 
