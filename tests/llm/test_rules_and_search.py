@@ -45,14 +45,31 @@ def test_rules_on_edges(edges, nothing):
     assert quality_rules.judge(nothing).count() == 0
 
 
-def test_small_hosts_are_shrunk_towards_all(spark):
-    rows = [(f"h{i}", 1000, 10 + i % 3) for i in range(30)] + [("tiny", 1, 1)]
-    docs = []
-    for host, n, k in rows:
-        docs += [(host, 5 if j < k else 50) for j in range(n)]
+def hosts(spark, rows):
+    docs = [(host, 5 if j < k else 50) for host, n, k in rows for j in range(n)]
     counted = spark.createDataFrame(docs, "source string, n_words bigint").select("source", "n_words", *[F.lit(0).cast("long").alias(c) for c in ("n_symbols", "n_dup_lines", "n_repeat_words")])
-    rates = {r.source: r.rate_short for r in quality_rules.host_rates(counted).collect()}
-    assert rates["tiny"] < 1 and rates["h0"] == pytest.approx(0.01, abs=0.01)
+    return {r.source: r for r in quality_rules.host_rates(counted).collect()}
+
+
+def test_small_hosts_are_shrunk_towards_all(spark):
+    rates = hosts(spark, [(f"h{i}", 1000, 10 + i % 3) for i in range(30)] + [("tiny", 1, 1)])
+    assert rates["tiny"].rate_short < 0.05 and rates["h0"].rate_short == pytest.approx(0.01, abs=0.01)
+    assert not any(r.sure_short > r.limit_short for r in rates.values())
+
+
+def test_hosts_that_differ_by_chance_are_one(spark):
+    """All are given the common rate: the weight is at its bound."""
+    rng = np.random.default_rng(3)
+    rates = hosts(spark, [(f"h{i}", 50, int(k)) for i, k in enumerate(rng.binomial(50, 0.1, 40))])
+    common = {round(r.rate_short, 2) for r in rates.values()}
+    assert len(common) == 1 and not any(r.sure_short > r.limit_short for r in rates.values())
+
+
+def test_a_really_bad_host_is_found_among_alike_ones(spark):
+    rng = np.random.default_rng(4)
+    rates = hosts(spark, [(f"h{i}", 50, int(k)) for i, k in enumerate(rng.binomial(50, 0.05, 40))] + [("bad", 200, 150), ("small", 1, 1), ("twin a", 30, 2), ("twin b", 30, 2)])
+    assert {k for k, r in rates.items() if r.sure_short > r.limit_short} == {"bad"}
+    assert rates["twin a"].rate_short == rates["twin b"].rate_short
 
 
 def brute(vectors, queries, k):
@@ -83,3 +100,41 @@ def test_search_of_few_or_no_rows(spark):
     got = [tuple(r) for r in max_score.top_k(frame, frame.where("vec_id = 0"), 10).select("rank", "vec_id", "score").orderBy("rank").collect()]
     assert got == [(1, 1, 1024 * 512), (2, 1, 1024 * 512), (3, 100, 0)]
     assert max_score.top_k(frame.where("false"), frame.where("false"), 10).count() == 0
+
+
+def test_fewer_postings_are_traversed_as_the_floor_rises():
+    rng = np.random.default_rng(5)
+    scale = 0.75 ** np.arange(16)  # bounds that fall
+    candidates = np.floor(1000 * rng.normal(size=(4000, 16)) * scale).astype(np.int64)
+    queries = np.floor(1000 * rng.normal(size=(6, 16)) * scale).astype(np.int64)
+    ids = np.arange(1000, 5000)
+    leaders, before, steps = max_score.Leaders(np.arange(6), queries, 5), 0, []
+    for at in range(0, 4000, 500):
+        leaders.visit(ids[at : at + 500], candidates[at : at + 500])
+        steps.append(leaders.traversed - before)
+        before = leaders.traversed
+    assert steps[-1] < steps[0] <= 6 * 500 * 16 and leaders.traversed + leaders.probed < 0.7 * 6 * 4000 * 16
+    for q, (found, scores) in zip(queries, leaders.found, strict=True):
+        want = sorted(zip((-(candidates @ q)).tolist(), ids.tolist()))[:5]
+        assert list(zip((-scores).tolist(), found.tolist())) == want
+
+
+def test_a_shard_below_the_floor_is_left_out():
+    leaders = max_score.Leaders(np.array([1]), np.array([[10, 10]]), 2)
+    leaders.visit(np.array([5, 6, 7]), np.array([[9, 9], [9, 8], [1, 1]]))
+    before = leaders.traversed, leaders.probed
+    leaders.visit(np.array([8, 9, 10]), np.array([[1, 2], [2, 1], [0, 0]]))
+    assert (leaders.traversed, leaders.probed) == before and leaders.found[0][0].tolist() == [5, 6]
+
+
+def test_values_that_do_not_fit_are_an_error(spark):
+    frame = spark.createDataFrame([(0, [1e300]), (1, [1.0])], "vec_id bigint, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        max_score.top_k(frame, frame, 1).count()
+
+
+def test_search_with_clashing_columns_and_equal_ids(spark):
+    rows = [(0, [1.0], 5, 1), (1, [3.0], 5, 2), (1, [2.0], 5, 3), (2, [2.0], 5, 4)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, rank int, query_id int").repartition(4)
+    got = max_score.top_k(frame, frame.where("vec_id = 0"), 3, shard=1).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(1, 3 * 1024**2), (1, 2 * 1024**2), (2, 2 * 1024**2)]
