@@ -1,11 +1,11 @@
 """Language identification by language-bitmask n-gram filters.
 
 The n-grams typical of each language go into one Bloom filter whose slots hold a bit for every language: a probe
-returns all languages that contain the n-gram. A text's hits are counted per language, corrected for the filter's
-false positives, and the largest share decides.
+returns all languages that contain the n-gram. A text's hits are counted per language (a hit of an n-gram of width w
+counts w * w), corrected for the filter's false positives, and the largest share decides.
 
 Cases: null text and text without letters give ``und`` with score 0; ties go to the first language in alphabetical order;
-rows with null language are not learned from; without any learned language every text is ``und``.
+rows with null language or a null id are not learned from; without any learned language every text is ``und``.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ WIDTHS = (1, 2, 3, 4)
 LEAST_SHARE = 2e-5
 #: ... its share is at least this part of its largest share in any language.
 LEAST_PART = 0.15
+#: An n-gram that a language shows less often than this, in all that is learned, is no evidence.
+LEAST_COUNT = 2
 #: log2 of the filter's slots, and hash functions.
 SLOT_BITS, PROBES = 21, 3
 UNKNOWN = "und"
@@ -76,7 +78,7 @@ def probes(key: np.ndarray) -> list[np.ndarray]:
 
 def gram_counts(docs: DataFrame) -> DataFrame:
     """lang, width, gram, n over all learned documents: each task adds up its slices, Spark adds up the tasks."""
-    learned = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"), 3, 1)).select("lang", "text")
+    learned = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 3, 1)).select("lang", "text")
 
     def run(batches):
         for part, data, offsets in text_slices(batches):
@@ -99,7 +101,7 @@ def fit(docs: DataFrame, least_share: float = LEAST_SHARE, least_part: float = L
     """Counts cover every learned document. A language keeps at most 1 / least_share n-grams of a width, so what the driver gets is bounded."""
     counted = materialize(gram_counts(docs), "gram-counts")
     totals = counted.groupBy("lang", "width").agg(F.sum("n").alias("total"))
-    shares = counted.where("n > 1").join(totals, ["lang", "width"]).withColumn("share", F.col("n") / F.col("total"))
+    shares = counted.where(F.col("n") >= LEAST_COUNT).join(totals, ["lang", "width"]).withColumn("share", F.col("n") / F.col("total"))
     return _build(shares.where(F.col("share") >= least_share), least_part)
 
 
