@@ -27,9 +27,11 @@ def held_out(doc_id: Column, buckets: int, fold: int) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder all executors see: spark.checkpoint.dir, or, on a local master, one of our own where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="statefold-")
         spark.conf.set("spark.checkpoint.dir", found)
         atexit.register(shutil.rmtree, found, ignore_errors=True)

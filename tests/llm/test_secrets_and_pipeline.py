@@ -93,5 +93,8 @@ def test_stages_keep_columns_and_take_effect(spark, small):
 
 
 def test_every_operator_has_its_query():
-    assert {q.split("_")[0] for q in registry.QUERIES} == {f"op{i}" for i in range(1, 11)} | {"pipeline"}
+    assert {q.split("_")[0] for q in registry.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    import __spark_entry__
+
+    assert set(registry.QUERIES) | {"pipeline"} <= set(__spark_entry__.queries())
     assert set(registry.SQL) <= set(registry.QUERIES)
