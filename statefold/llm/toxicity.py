@@ -1,18 +1,25 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Small transducers for insults, threats, targets, negation and reported speech read the token classes of a clause.
-Their composition is one automaton whose states are the reachable combinations of the parts' states; its weights say
-what each matched token adds to the clause. Clauses are scored, not words: the same word counts more when aimed at
-someone, less when negated, and less again inside reported speech. The insult lexicon (words and word beginnings) is
-learned from labelled documents and joined to a few fixed words; a logistic curve turns clause sums into a score.
+Small transducers read the token classes of a clause, each what the one before it has written. THREATENED lets harm through
+as a threat only after an intention; NEGATED and REPORTED rewrite insults and threats in their reach as MILD, which the
+later ones don't take for either; AIMED and INSULTED weigh what is left by its target and by the insults before it. Their
+composition is one automaton whose states are the combinations of the parts' states; its weights say what each matched
+token adds to its clause. Clauses are scored, not words: the same word counts more when aimed at someone, less when negated
+or reported, and the order of tokens counts. The lexicon (words and word beginnings) is learned from labelled documents
+and joined to a few fixed words; a learned term that mostly follows an intention is a threat, any other an insult. The
+factors are learned too, from how often matches in each context are in toxic documents, and shrunk to fixed ones; a logistic
+curve turns clause sums into a score.
 
 Cases: null and empty texts match nothing and get the score of a text without matches; a null id is scored and never
-learned from; repeated rows are scored each; without labels the fixed words and fixed curve decide.
+learned from; repeated rows are scored each; without labels the fixed words, factors and curve decide; other columns are
+not looked at.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from itertools import product
 
@@ -21,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statefold.llm.common import coded, held_out, kept_texts, labelled_documents, map_texts, ragged, scored_texts, strings_at, text_slices, word_spans
+from statefold.llm.common import coded, held_out, kept_texts, labelled_documents, map_texts, materialize, ragged, scored_texts, strings_at, text_slices, word_spans
 
 TRAIN_ROWS = 20_000
 #: Least score of a toxic document.
@@ -29,7 +36,7 @@ THRESHOLD = 0.5
 #: Learned terms, at most; lengths of word beginnings; least likelihood-ratio statistic of a term.
 LEXICON, BEGINNINGS, LEAST_G = 2_000, (4, 5, 6), 16.0
 
-OTHER, INSULT, THREAT, INTENT, TARGET, NEGATION, REPORT, END = range(8)
+OTHER, INSULT, THREAT, INTENT, TARGET, NEGATION, REPORT, MILD, END = range(9)
 #: Fixed words of the grammar's classes, lower case.
 WORDS = {
     INSULT: "idiot idiots moron morons stupid worthless pathetic clown trash disgusting scum loser losers imbecile dumbass bastard filth vermin",
@@ -45,73 +52,104 @@ RUNS = re.compile(r"[^\W\d_]+|[.!?;:\n|\"]+")
 
 @dataclass(frozen=True)
 class Transducer:
-    """next state and factor of (state, class); what is not listed keeps the state (``decay`` lowers it) with factor 1."""
+    """next state, factor and written class of (state, class); what is not listed keeps the state (``decay`` lowers it), has factor 1 and is written as read."""
 
     states: int
     moves: dict[tuple[int, int], int]
     factors: dict[tuple[int, int], float] = field(default_factory=dict)
+    writes: dict[tuple[int, int], int] = field(default_factory=dict)
     decay: bool = False
 
-    def step(self, state: int, kind: int) -> tuple[int, float]:
+    def step(self, state: int, kind: int) -> tuple[int, float, int]:
         default = max(0, state - 1) if self.decay else state
-        return self.moves.get((state, kind), default), self.factors.get((state, kind), 1.0)
+        return self.moves.get((state, kind), default), self.factors.get((state, kind), 1.0), self.writes.get((state, kind), kind)
 
 
-#: A negation reaches over the three tokens after it.
-NEGATED = Transducer(4, {(s, NEGATION): 3 for s in range(4)}, {(s, k): 0.4 for s in (1, 2, 3) for k in (INSULT, THREAT)}, decay=True)
-REPORTED = Transducer(2, {(s, REPORT): 1 for s in range(2)}, {(1, k): 0.6 for k in (INSULT, THREAT)})
-AIMED = Transducer(2, {(s, TARGET): 1 for s in range(2)}, {(1, INSULT): 1.5, (1, THREAT): 1.2})
-#: A threat is an intention followed by harm; harm alone counts little.
-THREATENED = Transducer(4, {(s, INTENT): 3 for s in range(4)}, {(0, THREAT): 0.0} | {(s, THREAT): 2.0 for s in (1, 2, 3)}, decay=True)
-#: Insults in a row add up with growing weight.
-INSULTED = Transducer(3, {(0, INSULT): 1, (1, INSULT): 2, (2, INSULT): 2}, {(1, INSULT): 1.2, (2, INSULT): 1.4})
+#: What a match is multiplied by in each context, before labels are seen.
+CONTEXTS = {"threatened": 2.0, "negated": 0.4, "reported": 0.6, "aimed": 1.5, "second": 1.2, "third": 1.4}
+#: What a target adds that comes after an unaimed insult or threat.
+LATE_TARGET = 0.3
+
+
+def parts(factor: dict[str, float]) -> tuple[Transducer, ...]:
+    """The grammar's transducers in the order in which they read each other."""
+    hit = (INSULT, THREAT)
+    # A threat is harm within three tokens after an intention; harm alone counts nothing and is written as any word.
+    threatened = Transducer(4, {(s, INTENT): 3 for s in range(4)}, {(0, THREAT): 0.0} | {(s, THREAT): factor["threatened"] for s in (1, 2, 3)}, {(0, THREAT): OTHER}, decay=True)
+    # A negation reaches over the three tokens after it.
+    negated = Transducer(4, {(s, NEGATION): 3 for s in range(4)}, {(s, k): factor["negated"] for s in (1, 2, 3) for k in hit}, {(s, k): MILD for s in (1, 2, 3) for k in hit}, decay=True)
+    reported = Transducer(2, {(s, REPORT): 1 for s in range(2)}, {(1, k): factor["reported"] for k in hit}, {(1, k): MILD for k in hit})
+    # State 1: a target has been named. State 2: something has been said of nobody, which a target may still take.
+    moves = {(s, TARGET): 1 for s in range(3)} | {(0, k): 2 for k in hit}
+    aimed = Transducer(3, moves, {(1, k): factor["aimed"] for k in hit} | {(0, TARGET): 0.0, (1, TARGET): 0.0})
+    insulted = Transducer(3, {(0, INSULT): 1, (1, INSULT): 2, (2, INSULT): 2}, {(1, INSULT): factor["second"], (2, INSULT): factor["third"]})
+    return threatened, negated, reported, aimed, insulted
 
 
 @dataclass(frozen=True)
 class Automaton:
     move: np.ndarray
     factor: np.ndarray
+    states: tuple[tuple[int, ...], ...]
 
 
-def compose(*parts: Transducer) -> Automaton:
-    """The product of the parts over all token classes; factors multiply."""
-    states = list(product(*[range(p.states) for p in parts]))
+def compose(*chain: Transducer) -> Automaton:
+    """The composition over all token classes: each part reads what the part before it has written; factors multiply."""
+    states = tuple(product(*[range(p.states) for p in chain]))
     index = {s: i for i, s in enumerate(states)}
     move, factor = np.zeros((len(states), END), np.int64), np.ones((len(states), END))
     for s in states:
         for kind in range(END):
-            steps = [p.step(x, kind) for p, x in zip(parts, s, strict=True)]
-            move[index[s], kind] = index[tuple(t for t, _ in steps)]
-            factor[index[s], kind] = np.prod([w for _, w in steps])
-    return Automaton(move, factor)
+            reads, to = kind, []
+            for p, x in zip(chain, s, strict=True):
+                x, w, reads = p.step(x, reads)
+                to.append(x)
+                factor[index[s], kind] *= w
+            move[index[s], kind] = index[tuple(to)]
+    return Automaton(move, factor, states)
+
 
+def grammar(factor: dict[str, float]) -> Automaton:
+    return compose(*parts(factor))
 
-GRAMMAR = compose(INSULTED, THREATENED, AIMED, NEGATED, REPORTED)
+
+def context_of(state: tuple[int, ...], kind: int) -> str:
+    """The context that says most about a match in a state of the composition: one of CONTEXTS, "plain" or "" for no match."""
+    threatened, negated, reported, aimed, insulted = state
+    if kind == THREAT and not threatened:
+        return ""
+    for name, there in (("negated", negated), ("reported", reported), ("threatened", kind == THREAT), ("aimed", aimed == 1), ("third", insulted == 2), ("second", insulted == 1)):
+        if there:
+            return name
+    return "plain"
 
 
 @dataclass(frozen=True)
 class Model:
-    terms: dict[str, float]  # learned words and, ending in "*", word beginnings
+    terms: dict[str, tuple[int, float]]  # class and weight of learned words and, ending in "*", word beginnings
     curve: np.ndarray  # weights of the document's numbers, then the constant
+    automaton: Automaton
 
 
-def class_of(word: str, terms: dict[str, float]) -> tuple[int, float]:
-    """Class and weight of a lower-case word: learned whole words first, then the longest learned beginning, then fixed words."""
-    for term in (word, *(word[:n] + "*" for n in sorted(BEGINNINGS, reverse=True) if len(word) >= n)):
-        if (w := terms.get(term)) is not None:
-            return INSULT, w
-    kind = CLASS_OF.get(word, OTHER)
-    return kind, 1.0 if kind == INSULT else float(kind == THREAT)
+def class_of(word: str, terms: dict[str, tuple[int, float]]) -> tuple[int, float]:
+    """Class and weight of a lower-case word: learned whole words first, then fixed words, then the longest learned beginning."""
+    if (found := terms.get(word)) is not None:
+        return found
+    if (kind := CLASS_OF.get(word)) is not None:
+        return kind, {INSULT: 1.0, THREAT: 1.0, TARGET: LATE_TARGET}.get(kind, 0.0)
+    for n in sorted(BEGINNINGS, reverse=True):
+        if len(word) >= n and (found := terms.get(word[:n] + "*")) is not None:
+            return found
+    return OTHER, 0.0
 
 
-def score_clause(tokens: list[tuple[int, float]]) -> float:
-    """What the automaton adds up over a clause; its rows of states start at 0. A target after the insult counts as one before it."""
-    late = any(k == TARGET for k, _ in tokens)
+def score_clause(tokens: list[tuple[int, float]], automaton: Automaton) -> float:
+    """What the automaton adds up over a clause. A target adds only after an insult or threat that had none."""
     state, total = 0, 0.0
-    for kind, weight in [(TARGET, 0.0)] * late + tokens:
-        if weight:
-            total += weight * GRAMMAR.factor[state, kind]
-        state = GRAMMAR.move[state, kind]
+    for kind, weight in tokens:
+        if weight and (kind != TARGET or automaton.states[state][3] == 2):
+            total += weight * automaton.factor[state, kind]
+        state = automaton.move[state, kind]
     return total
 
 
@@ -119,14 +157,14 @@ def score_clause(tokens: list[tuple[int, float]]) -> float:
 NUMBERS = 4
 
 
-def clause_numbers(data: np.ndarray, offsets: np.ndarray, terms: dict[str, float]) -> np.ndarray:
+def clause_numbers(data: np.ndarray, offsets: np.ndarray, model: Model) -> np.ndarray:
     n = len(offsets) - 1
     starts, ends, row = word_spans(data, offsets)
     code, words = coded(strings_at(data, starts, ends))
     pieces, hot = [], np.zeros(len(words), bool)
     for i, w in enumerate(words.to_pylist()):
-        made = [(END, 0.0) if not r[0].isalpha() else class_of(r, terms) for r in RUNS.findall(w.lower())]
-        hot[i] = any(x for _, x in made)
+        made = [(END, 0.0) if not r[0].isalpha() else class_of(r, model.terms) for r in RUNS.findall(w.lower())]
+        hot[i] = any(k in (INSULT, THREAT) for k, _ in made)
         pieces.append(made)
     breaks = np.zeros(len(data) + 1, np.int64)  # a line ends a clause
     np.cumsum(data == 10, out=breaks[1:])
@@ -146,9 +184,9 @@ def clause_numbers(data: np.ndarray, offsets: np.ndarray, terms: dict[str, float
                     clause, use = [], False
                 else:
                     clause.append(token)
-                    use |= token[1] != 0
+                    use |= token[0] in (INSULT, THREAT)
         clauses += [clause] if use else []
-        scores = [s for c in clauses if (s := score_clause(c)) > 0]
+        scores = [s for c in clauses if (s := score_clause(c, model.automaton)) > 0]
         if scores:
             out[r] = np.log1p(sum(scores)), max(scores), min(10.0, 100 * len(scores) / words_of[r]), 1.0
     return out
@@ -178,12 +216,64 @@ def term_counts(sample: DataFrame) -> DataFrame:
     return sample.mapInArrow(run, "term string, tox bigint, clean bigint").groupBy("term").agg(F.sum("tox").alias("tox"), F.sum("clean").alias("clean"))
 
 
+def clauses_of(text: str, terms: dict[str, tuple[int, float]]) -> Iterable[list[tuple[str, int, float]]]:
+    """(word, class, weight) of each clause of a text, one token after the other."""
+    clause: list[tuple[str, int, float]] = []
+    for run in RUNS.findall(text.lower()):
+        if run[0].isalpha():
+            clause.append((run, *class_of(run, terms)))
+        elif clause:
+            yield clause
+            clause = []
+    if clause:
+        yield clause
+
+
+def context_counts(sample: DataFrame, terms: dict[str, tuple[int, float]]) -> DataFrame:
+    """what, name, y, n: matches of labelled documents by context, and occurrences of learned terms, of which after an intention."""
+    chain = grammar(CONTEXTS)
+
+    def run(batches):
+        for b in batches:
+            n: Counter = Counter()
+            for text, y in zip(b.column(b.schema.get_field_index("text")).to_pylist(), b.column(b.schema.get_field_index("y")).to_pylist(), strict=True):
+                for clause in clauses_of(text or "", terms):
+                    state, intent = 0, 0
+                    for word, kind, _ in clause:
+                        if kind in (INSULT, THREAT):
+                            if context := context_of(chain.states[state], kind):
+                                n["context", context, y] += 1
+                            for term in (word, *(word[:k] + "*" for k in BEGINNINGS)):
+                                if term in terms:
+                                    n["intended" if intent else "other", term, y] += 1
+                        state, intent = chain.move[state, kind], 3 if kind == INTENT else max(0, intent - 1)
+            keys = list(n)
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.int32()), pa.array(list(n.values()), pa.int64())], ["what", "name", "y", "n"])
+
+    return sample.select("text", "y").mapInArrow(run, "what string, name string, y int, n bigint").groupBy("what", "name", "y").agg(F.sum("n").alias("n"))
+
+
+#: Matches of a context that weigh as much as its fixed factor.
+PRIOR_MATCHES = 20
+
+
+def fit_factors(counts: dict[tuple[str, int], int]) -> dict[str, float]:
+    """Each context's factor: the share of its matches that are in toxic documents, against plain matches, shrunk to the fixed factor."""
+    share = lambda c: (counts.get((c, 1), 0) + 0.5) / (counts.get((c, 0), 0) + counts.get((c, 1), 0) + 1)
+    out = {}
+    for name, fixed in CONTEXTS.items():
+        n = counts.get((name, 0), 0) + counts.get((name, 1), 0)
+        out[name] = float(np.clip((PRIOR_MATCHES * fixed + n * fixed * share(name) / share("plain")) / (PRIOR_MATCHES + n), 0.0, 3.0))
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS, lexicon: int = LEXICON) -> Model:
-    """Lexicon and curve for ``labels.toxic``, from at most ``bound`` labelled rows outside fold 0 of 5."""
-    sample = labelled_documents(docs, labels, "toxic", bound)
+    """Lexicon, factors and curve for ``labels.toxic``, from at most ``bound`` labelled rows outside fold 0 of 5."""
+    sample = materialize(labelled_documents(docs, labels, "toxic", bound), "labelled")
     size = sample.agg(F.sum("y").alias("t"), F.count("*").alias("n")).first()
     toxic, clean = size["t"] or 0, size["n"] - (size["t"] or 0)
-    terms: dict[str, float] = {}
+    terms: dict[str, tuple[int, float]] = {}
+    factors = CONTEXTS
     if toxic and clean:
         a, b = F.col("tox"), F.col("clean")
         log = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
@@ -191,10 +281,17 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS, lexicon: in
         g = 2 * (log(a, expect * toxic) + log(b, expect * clean))
         odds = F.log((a + 0.5) / (toxic + 1) / ((b + 0.5) / (clean + 1)))
         found = term_counts(sample).where((a >= 3) & (odds > 1.5)).withColumn("g", g).withColumn("odds", odds).where(F.col("g") >= LEAST_G)
-        terms = {r["term"]: float(min(r["odds"], 5.0) / 3) for r in found.orderBy(F.desc("g"), "term").limit(lexicon).collect()}
-    rows = numbers(sample, terms, ("doc_id", "y")).toPandas().sort_values("doc_id", kind="stable")
+        rows = found.orderBy(F.desc("g"), "term").limit(lexicon).collect()
+        fixed = {w: k for w, k in CLASS_OF.items() if k != INSULT}  # the grammar's own words keep their class
+        terms = {r["term"]: (INSULT, float(min(r["odds"], 5.0) / 3)) for r in rows if r["term"] not in fixed}
+        counted = context_counts(sample, terms).collect()  # of CONTEXTS and LEXICON terms at most
+        factors = fit_factors({(r["name"], r["y"]): r["n"] for r in counted if r["what"] == "context"})
+        seen = Counter({(r["what"], r["name"]): r["n"] for r in counted if r["y"] == 1 and r["what"] != "context"})
+        terms = {t: (THREAT if seen["intended", t] > max(2, seen["other", t]) else k, w) for t, (k, w) in terms.items()}
+    model = Model(terms, np.zeros(0), grammar(factors))
+    rows = numbers(sample, model, ("doc_id", "y")).toPandas().sort_values("doc_id", kind="stable")
     x = np.array(rows.numbers.tolist(), np.float64).reshape(len(rows), NUMBERS)
-    return Model(terms, fit_curve(x, rows.y.to_numpy(np.float64)))
+    return Model(terms, fit_curve(x, rows.y.to_numpy(np.float64)), model.automaton)
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 25) -> np.ndarray:
@@ -209,20 +306,20 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 25
     return w
 
 
-def numbers(docs: DataFrame, terms: dict[str, float], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def numbers(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     def make():
-        return lambda part, data, offsets: {"numbers": list(clause_numbers(data, offsets, terms))}
+        return lambda part, data, offsets: {"numbers": list(clause_numbers(data, offsets, model))}
 
     return map_texts(docs, make, "numbers array<double>", keep)
 
 
 def scorer(docs: DataFrame, model: Model):
     """What a task needs to score slices of texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # LEXICON terms at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # LEXICON terms and the automaton
 
     def make():
         m = shared.value
-        return lambda data, offsets: 1 / (1 + np.exp(-np.clip(clause_numbers(data, offsets, m.terms) @ m.curve[:-1] + m.curve[-1], -30, 30)))
+        return lambda data, offsets: 1 / (1 + np.exp(-np.clip(clause_numbers(data, offsets, m) @ m.curve[:-1] + m.curve[-1], -30, 30)))
 
     return make
 

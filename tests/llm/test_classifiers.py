@@ -21,8 +21,10 @@ def test_quality_is_right_on_held_out_documents(spark):
 
 
 def test_toxicity_is_right_on_held_out_documents(spark):
-    scored = registry.op1_toxicity(spark, SF)
-    assert accuracy(scored, spark.read.parquet(f"{SF}/labels.parquet"), "toxic") > 0.9
+    scored = registry.op1_toxicity(spark, "/root/testdata/sf0.1")
+    rows = scored.where("held_out").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").toPandas()
+    caught = ((rows.predicted == 1) & (rows.toxic == 1)).sum()
+    assert caught / (rows.toxic == 1).sum() > 0.85 and caught / (rows.predicted == 1).sum() > 0.95
 
 
 def test_language_is_right_on_held_out_documents(spark):
@@ -88,30 +90,86 @@ def test_statistics_by_hand():
     assert not features(np.zeros(0, np.uint8), np.array([0, 0])).any()
 
 
+FIXED = toxicity.grammar(toxicity.CONTEXTS)
+
+
 def clause_score(text, terms=None):
-    tokens = [toxicity.class_of(w, terms or {}) for w in toxicity.RUNS.findall(text.lower()) if w[0].isalpha()]
-    return toxicity.score_clause(tokens)
+    return sum(toxicity.score_clause([(k, w) for _, k, w in c], FIXED) for c in toxicity.clauses_of(text, terms or {}))
 
 
 def test_the_grammar_scores_clauses_not_words():
     assert clause_score("a nice day") == 0
     plain = clause_score("idiot")
-    assert clause_score("you idiot") > plain and clause_score("not an idiot") < plain
+    assert clause_score("you idiot") > clause_score("idiot you") > plain  # the order counts
+    assert clause_score("not an idiot") < plain and clause_score("an idiot not") == plain
     assert clause_score("she said idiot") < plain
+    assert clause_score("you are not an idiot") == clause_score("not an idiot")  # what is negated is aimed at nobody
     assert clause_score("stupid worthless idiot") > 3 * plain
     assert clause_score("i will kill you") > 0 and clause_score("they kill time") == 0
-    assert clause_score("lostrament", {"lost*": 2.0}) == 2 * plain
+    assert clause_score("lostrament", {"lost*": (toxicity.INSULT, 2.0)}) == 2 * plain
 
 
-def test_composition_equals_running_the_parts_side_by_side():
-    parts = (toxicity.INSULTED, toxicity.THREATENED, toxicity.AIMED, toxicity.NEGATED, toxicity.REPORTED)
-    rng = np.random.default_rng(3)
+def test_composition_equals_running_the_parts_one_after_the_other():
+    chain, rng = toxicity.parts(toxicity.CONTEXTS), np.random.default_rng(3)
     for _ in range(200):
-        states, joint = [0] * len(parts), 0
+        states, joint = [0] * len(chain), 0
         for kind in rng.integers(0, toxicity.END, 12):
-            steps = [p.step(s, kind) for p, s in zip(parts, states)]
-            assert toxicity.GRAMMAR.factor[joint, kind] == pytest.approx(np.prod([w for _, w in steps]))
-            states, joint = [s for s, _ in steps], toxicity.GRAMMAR.move[joint, kind]
+            reads, factor = kind, 1.0
+            for i, p in enumerate(chain):
+                states[i], w, reads = p.step(states[i], reads)
+                factor *= w
+            assert FIXED.factor[joint, kind] == pytest.approx(factor)
+            joint = FIXED.move[joint, kind]
+            assert FIXED.states[joint] == tuple(states)
+
+
+WORDS_OF_CLAUSES = "you idiot not stupid she said will kill the a zorb zorbling grand day , . ! \n they clown never quoted".split(" ")
+
+
+def test_clause_numbers_equal_a_naive_scorer():
+    rng = np.random.default_rng(7)
+    terms = {"zorb": (toxicity.THREAT, 0.7), "zorbl*": (toxicity.INSULT, 0.5)}
+    model = toxicity.Model(terms, np.zeros(0), FIXED)
+    rows = [" ".join(rng.choice(WORDS_OF_CLAUSES, rng.integers(0, 30))) for _ in range(200)] + ["", "idiot", "x\nidiot you\nidiot"]
+    data, offsets = np.frombuffer("".join(rows).encode(), np.uint8), np.cumsum([0, *map(len, rows)])
+    got = toxicity.clause_numbers(data, offsets, model)
+    for text, numbers in zip(rows, got, strict=True):
+        scores = [s for c in toxicity.clauses_of(text, terms) if (s := toxicity.score_clause([(k, w) for _, k, w in c], FIXED)) > 0]
+        want = [np.log1p(sum(scores)), max(scores), min(10.0, 100 * len(scores) / len(text.split())), 1.0] if scores else [0.0] * 4
+        assert numbers == pytest.approx(want)
+
+
+def test_term_counts_equal_a_naive_count(spark):
+    rows = [(i, t, y) for i, (t, y) in enumerate([("zorbling zorbling day", 1), ("Zorbling, nice", 0), ("", 1), (None, 0), ("day.day", 1)])]
+    sample = spark.createDataFrame(rows, "doc_id bigint, text string, y int")
+    got = {r.term: (r.tox, r.clean) for r in toxicity.term_counts(sample).collect()}
+    assert got == {"zorbling": (1, 1), "zorb*": (1, 1), "zorbl*": (1, 1), "zorbli*": (1, 1), "day": (2, 0), "nice": (0, 1), "nice*": (0, 1)}
+
+
+def test_the_grammar_changes_held_out_decisions(spark):
+    """The same words are in toxic and clean documents; only what is said with them differs."""
+    rng = np.random.default_rng(9)
+    fill = lambda: " ".join(rng.choice("ab cd ef gh ij kl mn op".split(), 6))
+    toxic = ["you are an idiot", "you stupid clown", "they are trash, you moron"]
+    clean = ["he is not an idiot", "nobody is a stupid clown", "she said idiot and clown", "never call it trash"]
+    rows = [(i, f"{fill()}. {rng.choice(toxic if i % 2 else clean)}. {fill()}", i % 2) for i in range(400)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, labels)
+    decided = lambda m: {r.doc_id: r.predicted for r in toxicity.score(docs, m).where("held_out").collect()}
+    want = {i: y for i, _, y in rows}
+    with_grammar = decided(model)
+    flat = toxicity.Automaton(model.automaton.move, np.ones_like(model.automaton.factor), model.automaton.states)
+    without = decided(toxicity.Model(model.terms, model.curve, flat))
+    assert all(with_grammar[i] == want[i] for i in with_grammar)
+    assert sum(without[i] != with_grammar[i] for i in without) > 0.2 * len(without)
+
+
+def test_learned_terms_after_an_intention_are_threats(spark):
+    rows = [(i, "we will zorb you now" if i % 2 else "a nice day for all of them", i % 2) for i in range(200)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int"))
+    assert model.terms["zorb"][0] == toxicity.THREAT
 
 
 def test_language_edge_cases(spark, edges, nothing):
