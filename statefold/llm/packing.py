@@ -126,5 +126,6 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END_I
             kept = [b.column(b.schema.get_field_index(c)) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(p.sequence[i] + turn), pa.array(p.offset[i] + slot * length)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    ranked = cut.join(bases, ["task", "length"]).withColumn("rank", F.col("task_rank") + F.col("base")).drop("task", "task_rank", "base")
+    # A base for each task and length grows with the input: it is never broadcast.
+    ranked = cut.join(bases.hint("merge"), ["task", "length"]).withColumn("rank", F.col("task_rank") + F.col("base")).drop("task", "task_rank", "base")
     return ranked.mapInArrow(place, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
