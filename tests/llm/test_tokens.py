@@ -13,27 +13,25 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from statefold.llm import packing, pieces_codec, token_files
-from statefold.llm.chunk_table import IdTable, cuts_of_words, cutter, hub_encoder
+from statefold.llm.chunk_table import IdTable, cutter, hub_encoder
 from statefold.llm.common import text_slices
 
 BYTE, WORD, PIECE = (P.path(x) for x in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
-LETTERS = [*"abc XYZ'ß éñ\n\t\r  ,.!?$%&|<>123-_", "▁", "▁", " ", " ", "　", "中", "한", "😀", "​", "\x1c", "\x85", "\x00", "ﬁ", "Σ", "ς", "İ", "ǅ", "́", "'s", " 'll", "<s>", "<|endoftext|>", "﻿", " "]
+LETTERS = [*"abc XYZ'ß éñ\n\t\r  ,.!?$%&|<>123-_", "▁", "▁", " ", " ", "　", "中", "한", "😀", "​", "\x1c", "\x85", "\x00", "ﬁ", "Σ", "ς", "İ", "ǅ", "́", "'s", " 'll", "<s>", "<|endoftext|>", "<|startoftext|>", "﻿", " "]
 texts = st.lists(st.sampled_from(LETTERS), max_size=30).map("".join)
 
 
 def plain(path):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
 
 
 def through_table(path, rows, bound=50, most=400):
-    table, out = IdTable(hub_encoder(path), bound), []
+    table, cuts, out = IdTable(hub_encoder(path), bound), cutter(path), []
     batch = pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], ["text"])
     for _, data, offsets in text_slices(iter([batch]), most=most):
-        ids, n = table.ids(data, offsets, cuts_of_words(data))
+        ids, n = table.ids(data, offsets, cuts(data, offsets))
         at = np.concatenate(([0], np.cumsum(n)))
         out += [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])]
     return out
@@ -47,18 +45,12 @@ def test_chunks_give_the_ids_of_whole_texts(path, rows):
     assert through_table(path, rows) == [tokenizer.encode(x, add_special_tokens=False).ids for x in rows]
 
 
-def by_default(path):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
 SPECIAL = st.lists(st.sampled_from([*LETTERS, "<|endoftext|>", "<|startoftext|>", "<|endof", "text|>", "\n", "e\u0301"]), max_size=20).map("".join)
 
 
 @pytest.mark.parametrize("path", [BYTE, WORD])
-def test_added_tokens_are_as_by_default(path):
-    tokenizer, cuts, table = by_default(path), cutter(path), IdTable(hub_encoder(path), 50)
+def test_added_tokens_are_as_plain(path):
+    tokenizer, cuts, table = plain(path), cutter(path), IdTable(hub_encoder(path), 50)
 
     @given(rows=st.lists(SPECIAL, min_size=1, max_size=20))
     @settings(max_examples=150, deadline=None)
@@ -75,7 +67,7 @@ def test_added_tokens_are_as_by_default(path):
 
 
 @pytest.mark.parametrize("kind", [{"normalized": True}, {"single_word": True}, {"lstrip": True}])
-def test_other_added_tokens_are_as_by_default(tmp_path, kind):
+def test_other_added_tokens_are_as_plain(tmp_path, kind):
     with open(BYTE, encoding="utf-8") as f:
         spec = json.load(f)
     token = {"content": "lazydog", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": False}
@@ -84,7 +76,7 @@ def test_other_added_tokens_are_as_by_default(tmp_path, kind):
         path = str(tmp_path / f"{len(more)}.json")
         with open(path, "w", encoding="utf-8") as f:
             json.dump(spec, f)
-        tokenizer, rows = by_default(path), ["a lazydog lazydogs x", "lazydog"]
+        tokenizer, rows = plain(path), ["a lazydog lazydogs x", "lazydog"]
         data = np.frombuffer("".join(rows).encode(), np.uint8)
         offsets = np.cumsum([0, *map(len, rows)])
         ids, n = IdTable(hub_encoder(path)).ids(data, offsets, cutter(path)(data, offsets))
@@ -94,7 +86,7 @@ def test_other_added_tokens_are_as_by_default(tmp_path, kind):
 def test_operators_keep_added_tokens(spark):
     docs = spark.createDataFrame([(0, "a <|endoftext|> b"), (1, "<|startoftext|>x<|endoftext|>"), (2, "c")], "doc_id bigint, text string")
     crc = lambda x: zlib.crc32(np.array(x, "<u4").tobytes())
-    ids = lambda path: {r.doc_id: [*by_default(path).encode(r.text, add_special_tokens=False).ids, 1] for r in docs.collect()}
+    ids = lambda path: {r.doc_id: [*plain(path).encode(r.text, add_special_tokens=False).ids, 1] for r in docs.collect()}
     assert {r.doc_id: r.ids_crc32 for r in packing.pack(docs, BYTE).collect()} == {k: crc(x) for k, x in ids(BYTE).items()}
     assert {r.doc_id: r.ids_crc32 for r in token_files.write_and_read(docs, WORD).collect()} == {k: crc(x) for k, x in ids(WORD).items()}
 
