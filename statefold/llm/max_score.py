@@ -27,7 +27,7 @@ from statefold.llm.common import materialize
 #: Vectors of a shard of candidates, and of a block of queries (about; 64 components make 32 MB).
 SHARD, BLOCK = 16_384, 65_536
 #: Components probed at a time.
-STEP = 4
+STEP = 8
 SCALE = 1024
 
 
@@ -105,7 +105,12 @@ class Leaders:
         if floor is not None and base + rest[0] < floor:
             return
         alive = np.flatnonzero(ids != self.ids[i])
-        partial = (weights[terms[:essential]] @ postings[terms[:essential]])[alive] if essential else np.zeros(len(alive), postings.dtype)
+        if 2 * essential > len(terms):  # weights of zero leave the other terms out; picking the postings would copy them
+            own = np.zeros_like(weights)
+            own[terms[:essential]] = weights[terms[:essential]]
+            partial = (own @ postings)[alive]
+        else:
+            partial = (weights[terms[:essential]] @ postings[terms[:essential]])[alive]
         self.traversed += essential * len(ids)
         for at in range(essential, len(terms), STEP):
             # A candidate gets the least of the remaining terms in any case, and above it their bounds at most.
