@@ -41,7 +41,7 @@ class Filters:
 
 
 def grams(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(n-gram as a number, its width, index of its word) over the letter runs of distinct words, each padded by a blank on both sides."""
+    """(n-gram as a number, its width, index of its word) over the letter runs of distinct words, each padded by a blank on both sides; an n-gram has a blank at one end at most."""
     runs = [" ".join(LETTERS.findall(w.lower())) for w in words.to_pylist()]
     text = " " + " ".join(runs) + " "
     points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)

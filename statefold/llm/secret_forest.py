@@ -69,7 +69,7 @@ def numbers() -> dict[str, Column]:
         "changes": F.regexp_count(kinds, F.lit("(?<=l)[^l]|(?<=u)[^u]|(?<=d)[^d]|(?<=o)[^o]")) / n,
         "spoken": F.regexp_count(low, F.lit("(?<=[aeiou])[bcdfghjklmnpqrstvwxyz]|(?<=[bcdfghjklmnpqrstvwxyz])[aeiou]")) / n,
         "letter_runs": F.length(F.regexp_replace(low, "(?<![a-z])[a-z]{1,3}(?![a-z])|[^a-z]", "")) / n,
-        "distinct": F.size(F.array_distinct(F.split(F.substring(c, 1, 400), ""))) / F.least(n, F.lit(64.0)),
+        "distinct": F.size(F.array_distinct(F.split(c, ""))) / F.least(n, F.lit(64.0)),
         "hex": flag(low.rlike("^[0-9a-f]+$")),
         "dashed": flag(low.rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")),
         "repeats": F.regexp_count(c, F.lit(r"(.)\1")) / n,

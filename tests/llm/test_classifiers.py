@@ -1,6 +1,10 @@
 """Quality classifier, toxicity and language identification: held-out accuracy, defined edge cases."""
 
+import re
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from statefold.llm import boosted_trees, language_id, quality_classifier, registry, toxicity
@@ -90,6 +94,42 @@ def test_statistics_by_hand():
     assert not features(np.zeros(0, np.uint8), np.array([0, 0])).any()
 
 
+def statistics_by_hand(text):
+    data, words = text.encode(), re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    grams = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    cover = {p for i, g in enumerate(grams) if grams.count(g) > 1 for p in range(i, i + 5)}
+    share = lambda chars: sum(b in chars for b in data) / max(1, len(data))
+    n, m, times = max(1, len(words)), max(1, len(lines)), Counter(words)
+    return [
+        np.log1p(len(data)), np.log1p(len(words)), sum(map(len, words)) / n, len(times) / n, max(times.values(), default=0) / n, share(b"#*$%&|<>"), share(range(65, 91)),
+        share(range(48, 58)), share(b".,;:?'\"()-"), share(b"!"), share(b"|"), share(range(128, 256)), len(words) / m, (len(lines) - len(set(lines))) / m, len(cover) / n,
+        sum(a == b for a, b in zip(words, words[1:])) / n, sum(b in b".?!" for b in data) / n, sum(len(w) > 12 for w in words) / n, sum(len(w) < 3 for w in words) / n,
+    ]
+
+
+def test_statistics_equal_a_naive_version(spark, small, edges):
+    rows = [r.text or "" for r in spark.read.parquet(f"{small}/documents.parquet").limit(60).collect()] + [r.text or "" for r in edges.where("doc_id not in (6, 7)").collect()]
+    data, offsets = np.frombuffer("".join(rows).encode(), np.uint8), np.cumsum([0, *[len(x.encode()) for x in rows]])
+    assert np.allclose(features(data, offsets), [statistics_by_hand(x) for x in rows], rtol=1e-4, atol=1e-6)
+
+
+def grams_by_hand(word):
+    out = []
+    for run in language_id.LETTERS.findall(word.lower()):
+        padded = f" {run} "
+        out += [padded[i : i + n] for n in language_id.WIDTHS for i in range(len(padded) - n + 1) if padded[i : i + n].strip() and not (padded[i] == padded[i + n - 1] == " ")]
+    return out
+
+
+def test_n_grams_equal_a_naive_version():
+    words = ["the", "Größe", "don't", "a", "123", "naïve-été", "", "the"]
+    key, width, owner = language_id.grams(pa.array(words, pa.large_utf8()))
+    naive = [(i, g) for i, w in enumerate(words) for g in grams_by_hand(w)]
+    assert Counter(zip(owner.tolist(), width.tolist())) == Counter((i, len(g)) for i, g in naive)
+    assert len(set(key.tolist())) == len({g for _, g in naive})
+
+
 FIXED = toxicity.grammar(toxicity.CONTEXTS)
 
 
