@@ -346,7 +346,7 @@ def ns_aggregate_by_day(spark, sf_dir):
 
 
 NS_LISTS = f"""{EVENTS}, nr AS (SELECT k, ns, max(seq) AS r FROM ev WHERE lop <> 'APPEND' GROUP BY k, ns),
-nl AS (SELECT ev.k, ev.ns, CAST(row_number() OVER (PARTITION BY ev.k, ev.ns ORDER BY seq) - 1 AS BIGINT) AS pos, value AS e, seq FROM ev LEFT JOIN nr ON ev.k = nr.k AND ev.ns = nr.ns WHERE lop <> 'DELETE' AND (r IS NULL OR seq >= r))"""
+nl AS (SELECT ev.k, ev.ns, CAST(row_number() OVER (PARTITION BY ev.k, ev.ns ORDER BY seq) - 1 AS BIGINT) AS pos, value AS e, uk, seq FROM ev LEFT JOIN nr ON ev.k = nr.k AND ev.ns = nr.ns WHERE lop <> 'DELETE' AND (r IS NULL OR seq >= r))"""
 
 
 @query(f"WITH {NS_LISTS} SELECT k, ns, pos, e FROM nl")
@@ -354,6 +354,46 @@ def ns_list_by_day(spark, sf_dir):
     return folds.fold_list(events_log(spark, sf_dir, LIST_VERBS), ["k", "ns"]).select("k", "ns", "pos", "e")
 
 
+#: Keys and namespaces with a purchase: what the bulk verbs ask for.
+BOUGHT = "(SELECT k, ns FROM ev WHERE uk = 'purchase')"
+
+
+def bought(spark, sf_dir):
+    return events_log(spark, sf_dir, {}).where(F.col("uk") == "purchase").select("k", "ns").distinct()
+
+
+def ns_lists(spark, sf_dir):
+    return folds.fold_list(events_log(spark, sf_dir, LIST_VERBS), ["k", "ns"])
+
+
+@query(f"WITH {NS_LISTS} SELECT k, ns, pos, e FROM nl WHERE (k, ns) IN {BOUGHT}")
+def ns_list_bulk_get(spark, sf_dir):
+    return tables.get_all(ns_lists(spark, sf_dir), bought(spark, sf_dir), ["k", "ns"]).select("k", "ns", "pos", "e")
+
+
+@query(f"WITH {NS_LISTS} SELECT k, ns, pos, e FROM nl WHERE (k, ns) NOT IN {BOUGHT}")
+def ns_list_bulk_remove(spark, sf_dir):
+    return tables.remove_all(ns_lists(spark, sf_dir), bought(spark, sf_dir), ["k", "ns"]).select("k", "ns", "pos", "e")
+
+
+@query(f"WITH {NS_LISTS} SELECT k, ns, count(*) AS n FROM nl GROUP BY k, ns")
+def ns_list_size_contains(spark, sf_dir):
+    return tables.sizes(ns_lists(spark, sf_dir), ["k", "ns"])
+
+
+@query(f"WITH {NS_LISTS} SELECT k, ns, pos, uk AS e FROM (SELECT *, row_number() OVER (PARTITION BY k, ns, uk ORDER BY pos) AS rn FROM nl) WHERE NOT (uk = 'view' AND rn = 1)")
+def ns_list_remove_first(spark, sf_dir):
+    state = folds.fold_list(events_log(spark, sf_dir, LIST_VERBS).withColumn("value", F.col("uk")), ["k", "ns"])
+    asked = state.select("k", "ns").distinct().withColumn("e", F.lit("view"))
+    return tables.remove_first(state, asked, ["k", "ns"]).select("k", "ns", "pos", "e")
+
+
+@query(f"WITH {NS_LISTS} SELECT k, ns, pos, e FROM nl WHERE (k, ns) NOT IN {BOUGHT} UNION ALL SELECT DISTINCT k, ns, 0, -1.0 FROM ev WHERE uk = 'purchase'")
+def ns_list_update(spark, sf_dir):
+    new = bought(spark, sf_dir).withColumn("es", F.array(F.lit(-1.0)))
+    return tables.update_list(ns_lists(spark, sf_dir), new, ["k", "ns"])
+
+
 NS_MAPS = f"""{EVENTS}, nc AS (SELECT k, ns, max(seq) AS c FROM ev WHERE uk = 'error' GROUP BY k, ns),
 nm AS (SELECT e.* FROM (SELECT k, ns, uk, arg_max(value, seq) AS uv, max(seq) AS seq FROM ev WHERE uk <> 'error' GROUP BY k, ns, uk) e LEFT JOIN nc ON e.k = nc.k AND e.ns = nc.ns WHERE c IS NULL OR e.seq > c)"""
 
@@ -363,6 +403,48 @@ def ns_map_by_day(spark, sf_dir):
     return folds.fold_map(events_log(spark, sf_dir, MAP_VERBS), ["k", "ns"]).select("k", "ns", "uk", "uv")
 
 
+def ns_maps(spark, sf_dir):
+    return folds.fold_map(events_log(spark, sf_dir, MAP_VERBS), ["k", "ns"])
+
+
+def two_user_keys(spark, sf_dir):
+    return bought(spark, sf_dir).withColumn("uk", F.explode(F.array(F.lit("click"), F.lit("view"))))
+
+
+@query(f"WITH {NS_MAPS} SELECT k, ns, uk, uv FROM nm WHERE uk IN ('click', 'view') AND (k, ns) IN {BOUGHT}")
+def ns_map_bulk_get(spark, sf_dir):
+    return tables.get_all(ns_maps(spark, sf_dir), two_user_keys(spark, sf_dir), ["k", "ns", "uk"]).select("k", "ns", "uk", "uv")
+
+
+@query(f"WITH {NS_MAPS} SELECT DISTINCT k, ns, 'view' AS uk FROM ev WHERE uk = 'purchase' AND (k, ns) IN (SELECT k, ns FROM nm WHERE uk = 'view')")
+def ns_map_contains(spark, sf_dir):
+    return tables.contains(ns_maps(spark, sf_dir), bought(spark, sf_dir).withColumn("uk", F.lit("view")), ["k", "ns", "uk"])
+
+
+@query(f"WITH {NS_MAPS} SELECT DISTINCT k, ns, (k, ns) NOT IN (SELECT k, ns FROM nm) AS empty FROM ev")
+def ns_map_is_empty(spark, sf_dir):
+    asked = events_log(spark, sf_dir, {}).select("k", "ns").distinct()
+    return tables.is_empty(ns_maps(spark, sf_dir), asked, ["k", "ns"])
+
+
+@query(f"WITH {NS_MAPS} SELECT k, ns, uk, uv FROM nm WHERE NOT (uk IN ('click', 'view') AND (k, ns) IN {BOUGHT})")
+def ns_map_bulk_remove_entries(spark, sf_dir):
+    return tables.remove_all(ns_maps(spark, sf_dir), two_user_keys(spark, sf_dir), ["k", "ns", "uk"]).select("k", "ns", "uk", "uv")
+
+
+@query(f"WITH {NS_MAPS} SELECT k, ns, uk, uv FROM nm WHERE (k, ns) NOT IN {BOUGHT}")
+def ns_map_bulk_remove(spark, sf_dir):
+    return tables.remove_all(ns_maps(spark, sf_dir), bought(spark, sf_dir), ["k", "ns"]).select("k", "ns", "uk", "uv")
+
+
+@query(f"WITH {NS_MAPS}, p AS (SELECT k, ns, unnest(['view', 'new']) AS uk, -1.0 AS uv FROM (SELECT DISTINCT k, ns FROM ev WHERE uk = 'purchase')) SELECT k, ns, uk, uv FROM p UNION ALL SELECT k, ns, uk, uv FROM nm WHERE NOT (uk IN ('view', 'new') AND (k, ns) IN {BOUGHT})")
+def ns_map_bulk_put(spark, sf_dir):
+    base = events_log(spark, sf_dir, MAP_VERBS).select("k", "ns", "uk", "op", "value", "seq")
+    made = F.create_map(F.lit("view"), F.lit(-1.0), F.lit("new"), F.lit(-1.0))
+    puts = tables.entries_of_maps(bought(spark, sf_dir).withColumn("m", made), ["k", "ns"])
+    return folds.fold_map(base.unionByName(after(base, puts, ["k", "ns", "uk"]).select(*base.columns)), ["k", "ns"]).select("k", "ns", "uk", "uv")
+
+
 @query(f"WITH {EVENTS}, nv AS (SELECT k, ns, arg_max(value, seq) AS value FROM ev GROUP BY k, ns HAVING arg_max(vop, seq) <> 'DELETE') SELECT k, ns, value, ns >= (SELECT max(ns) FROM ev) AS taken FROM nv")
 def ns_get_and_remove(spark, sf_dir):
     rows = events_log(spark, sf_dir, VALUE_VERBS)
