@@ -42,13 +42,13 @@ def positions(rows: DataFrame, keys: list[str], seq: str = "seq", within: list[s
     return local.join(sizes, [*keys, "_bucket"]).withColumn("pos", (F.col("_base") + F.col("_rank") - 1).cast("long")).drop("_bucket", "_rank", "_base")
 
 
-def fold_list(log: DataFrame, keys: list[str] = K) -> DataFrame:
+def fold_list(log: DataFrame, keys: list[str] = K, bucket: int = BUCKET) -> DataFrame:
     """keys, pos, e, seq: each list's elements, oldest first. A value that is an array is several elements of one write."""
     rows = list_rows(log, keys).drop("op")
     if dict(log.dtypes)["value"].startswith("array"):
         rows = rows.select("*", F.posexplode("value").alias("_i", "e")).drop("value")
-        return positions(rows, keys, within=["_i"]).drop("_i")
-    return positions(rows.withColumnRenamed("value", "e"), keys)
+        return positions(rows, keys, within=["_i"], bucket=bucket).drop("_i")
+    return positions(rows.withColumnRenamed("value", "e"), keys, bucket=bucket)
 
 
 def fold_map(log: DataFrame, keys: list[str] = K, carry: tuple[str, ...] = ()) -> DataFrame:

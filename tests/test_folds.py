@@ -49,6 +49,16 @@ def test_positions_don_t_depend_on_buckets(spark):
     rows = folds.list_rows(frame(spark, log))
     got = [{(r.k, r.seq): r.pos for r in folds.positions(rows, ["k"], bucket=b).collect()} for b in (7, 1 << 16)]
     assert got[0] == got[1]
+    log = random_log(4, LIST_MIX | {"DELETE": 0.01, "PUT": 0.01}, 2000, 3)
+    for b in (1, 7, 64, 1 << 16):
+        assert as_lists(folds.fold_list(frame(spark, log), bucket=b)) == replay_list(log)
+
+
+def test_lists_of_several_elements_a_write(spark):
+    rows = [("a", "APPEND", [1.0, 2.0], 1), ("a", "APPEND", None, 2), ("a", "APPEND", [], 8), ("a", "APPEND", [3.0], 9), ("b", "APPEND", [4.0], 1), ("b", "PUT", [5.0, 6.0], 3), ("b", "APPEND", [7.0], 4), ("c", "PUT", [8.0], 2), ("c", "DELETE", None, 7)]
+    log = spark.createDataFrame(rows, "k string, op string, value array<double>, seq bigint")
+    for b in (1, 3, 1 << 16):
+        assert as_lists(folds.fold_list(log, bucket=b)) == {"a": [1.0, 2.0, 3.0], "b": [5.0, 6.0, 7.0]}
 
 
 def test_timers_are_a_set(spark):
